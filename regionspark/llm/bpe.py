@@ -25,7 +25,7 @@ import regex
 
 LONG = 40
 #: Words remembered by a worker.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 NONE = np.int64(1 << 40)
 
 #: The pre-tokenizer patterns that the vocabulary files name.
