@@ -36,21 +36,23 @@ HOT = 4096
 BLOCK_WORDS = 4096
 
 
-def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
-    """The fingerprint of one UTF-8 text."""
+def shingle_hashes(text: bytes, words_in_shingle: int = 3) -> np.ndarray:
+    """Hashes of the word shingles of one UTF-8 text, repeats included."""
     import xxhash
 
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= words_in_shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
-    else:
-        digest = xxhash.xxh64_intdigest
-        starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
-        begin, end = starts[: len(words) - words_in_shingle + 1].tolist(), (starts[words_in_shingle:] - 1).tolist()
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(begin, end, strict=True)), dtype=np.uint64, count=len(begin))
+        return np.array([digest(joined, 42)], dtype=np.uint64)
+    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+    begin, end = starts[: len(words) - words_in_shingle + 1].tolist(), (starts[words_in_shingle:] - 1).tolist()
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(begin, end, strict=True)), dtype=np.uint64, count=len(begin))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
     set_bits = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         some = hashes[k : k + (1 << 16)]
@@ -58,6 +60,11 @@ def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
     return int((2 * set_bits > len(hashes)) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
+def fingerprint(text: bytes, words_in_shingle: int = 3) -> int:
+    """The fingerprint of one UTF-8 text."""
+    return majority(shingle_hashes(text, words_in_shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -103,18 +110,19 @@ def keyed_again(rows: DataFrame) -> DataFrame:
 
 def within(planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """planes[b] holds, as words of 64 comparisons, whether bit b differs. Returns the words of comparisons with at most
-    ``radius`` differing bits (three at most); carry-save counters, abandoned once all exceed it."""
-    ones, twos = np.zeros_like(planes[0]), np.zeros_like(planes[0])
+    ``radius`` differing bits; carry-save counters, abandoned once all exceed it."""
+    full = ~np.uint64(0)
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius  # so that the counters run over just beyond the radius
+    counters = [np.full_like(planes[0], full if start >> c & 1 else 0) for c in range(width)]
     over = np.zeros_like(planes[0])
     for b in range(len(planes)):
-        carry = ones & planes[b]
-        ones ^= planes[b]
-        over |= twos & carry
-        twos ^= carry
-        if b % 8 == 7 and (over == ~np.uint64(0)).all():
+        carry = planes[b]
+        for c in range(width):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        over |= carry
+        if b % 8 == 7 and (over == full).all():
             break
-    if radius < 3:
-        over |= twos & ones if radius == 2 else twos | (ones if radius == 0 else np.uint64(0))
     return ~over
 
 
@@ -150,7 +158,7 @@ class Forest:
         return i != j
 
 
-def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
+def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (larger, smaller position) of a spanning forest of one bucket's fingerprints, sorted ascending.
 
     A fingerprint is compared with all behind it at once; queries whose tree already holds the whole bucket end it.
@@ -166,7 +174,7 @@ def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
         for at in range(word, planes.shape[1], BLOCK_WORDS):
             some = planes[:, at : at + BLOCK_WORDS]
             query = np.where((fps[i] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1, ones, np.uint64(0))
-            near = flags(within(some ^ query[:, None]), n - 64 * at)
+            near = flags(within(some ^ query[:, None], radius), n - 64 * at)
             for j in np.flatnonzero(near) + 64 * at:
                 if j > i and forest.link(i, int(j)):
                     links.append((int(j), i))
@@ -174,11 +182,11 @@ def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def partition_links(fps: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups of one sorted run of rows, as (larger, smaller) fingerprints."""
+def partition_links(fps: np.ndarray, ids: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the groups of one sorted run of rows, as pairs of ids."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.append(starts, len(fps)))
-    a_out, b_out = [], []
+    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # small buckets side by side: the s-th neighbours of all of them form one row of comparisons
     small = (sizes > 1) & (sizes <= 16)
     for shift in range(1, int(sizes[small].max()) if small.any() else 1):
@@ -187,60 +195,64 @@ def partition_links(fps: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np
         left = np.repeat(at, room) + (np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room))
         for k in range(0, len(left), 64 * BLOCK_WORDS):
             some = left[k : k + 64 * BLOCK_WORDS]
-            near = flags(within(bit_planes(fps[some] ^ fps[some + shift])), len(some))
-            a_out.append(fps[some[near] + shift])
-            b_out.append(fps[some[near]])
+            near = flags(within(bit_planes(fps[some] ^ fps[some + shift]), radius), len(some))
+            a_out.append(ids[some[near] + shift])
+            b_out.append(ids[some[near]])
     for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-        own = fps[start : start + size]
-        if links := bucket_links(own):
-            pairs = np.array(links)
-            a_out.append(own[pairs[:, 0]])
-            b_out.append(own[pairs[:, 1]])
-    if not a_out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if links := bucket_links(fps[start : start + size], radius):
+            pairs = np.array(links) + start
+            a_out.append(ids[pairs[:, 0]])
+            b_out.append(ids[pairs[:, 1]])
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def links_in_buckets(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of fingerprints within the buckets of rows (fp, m, k); a bucket meets in one task and has a bounded
-    number of rows."""
+def links_in_buckets(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) of ids within the buckets of rows (m, k, fp, id); a bucket meets in one task, its rows as three
+    numbers each."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        held: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
 
         def emit(table: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[False], (table[1:, 0] != table[:-1, 0]) | (table[1:, 1] != table[:-1, 1])])
-            a, b = partition_links(table[:, 2].view(np.uint64), np.cumsum(new))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            fps = np.ascontiguousarray(table[:, 2]).view(np.uint64)
+            a, b = partition_links(fps, table[:, 3], np.cumsum(new), radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for part in parts:
-            held.append(np.stack([np.asarray(part.column(c)).astype(np.int64) for c in ("m", "k", "fp")], axis=1))
+            held.append(np.stack([np.asarray(part.column(c)).astype(np.int64) for c in ("m", "k", "fp", "id")], axis=1))
             if sum(map(len, held)) < 50_000:
                 continue
-            table = np.ascontiguousarray(np.concatenate(held))
+            table = np.concatenate(held)
             last = np.flatnonzero((table[:, 0] != table[-1, 0]) | (table[:, 1] != table[-1, 1]))
             upto = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on
             if upto:
-                yield emit(np.ascontiguousarray(table[:upto]))
+                yield emit(table[:upto])
             held = [table[upto:]]
-        table = np.ascontiguousarray(np.concatenate(held))
+        table = np.concatenate(held)
         if len(table):
             yield emit(table)
 
-    dealt = rows.repartition("m", "k").sortWithinPartitions("m", "k", "fp")
+    dealt = rows.select("m", "k", "fp", "id").repartition("m", "k").sortWithinPartitions("m", "k", "fp", "id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def crowded_buckets(rows: DataFrame, hot: int) -> DataFrame | None:
+    """Buckets with more than ``hot`` rows, to be broadcast while they are few; None if there are none."""
+    found = cut(rows.groupBy("m", "k").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("m", "k"))
+    number = found.count()
+    return None if not number else F.broadcast(found) if number <= 100_000 else found
+
+
 def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """Links between distinct fingerprints that connect all pairs within the radius."""
-    rows = keyed(classes)
-    crowded = cut(rows.groupBy("m", "k").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("m", "k"))
-    number = crowded.count()
-    if not number:
+    rows = keyed(classes).withColumn("id", F.col("fp"))
+    crowded = crowded_buckets(rows, hot)
+    if crowded is None:
         return links_in_buckets(rows)
-    small = F.broadcast(crowded) if number <= 100_000 else crowded
-    mild = links_in_buckets(rows.join(small, ["m", "k"], "left_anti"))
-    return mild.unionByName(links_in_buckets(keyed_again(rows.join(small, ["m", "k"], "left_semi"))))
+    mild = links_in_buckets(rows.join(crowded, ["m", "k"], "left_anti"))
+    split = keyed_again(rows.join(crowded, ["m", "k"], "left_semi")).withColumn("id", F.col("fp"))
+    return mild.unionByName(links_in_buckets(split))
 
 
 def smaller_first(edges: DataFrame) -> DataFrame:
@@ -283,8 +295,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, words_in_shingle)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+def radius_for(similarity: float) -> int:
+    """Differing bits of 64 within which texts of this Jaccard similarity lie but for one in fifty: the angle between
+    their shingle sets, and two standard deviations."""
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * angle + 2 * np.sqrt(64 * angle * (1 - angle))))
+
+
+#: Smallest shingle hashes, each under its own permutation, by which texts meet in blocks.
+SKETCHES = 6
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
+    """id, fp and keys: the smallest shingle hash under each of SKETCHES permutations."""
+    odd = np.random.default_rng(11).integers(1, 1 << 62, SKETCHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for part in parts:
+                fps, keys = [], []
+                for text in part.column(1).cast(pa.binary()):
+                    hashes = shingle_hashes(text.as_py() or b"", words_in_shingle)
+                    fps.append(majority(hashes))
+                    some = hashes if len(hashes) else np.zeros(1, np.uint64)
+                    mixed = some ^ (some >> np.uint64(32))
+                    keys.append([int((mixed * m).min().view(np.int64)) for m in odd])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    return rows.mapInArrow(run, "id long, fp long, keys array<long>")
+
+
+def blocked(rows: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
+    """Each row under the joint values of the chosen sketches."""
+    made = F.array(*[F.struct(F.lit(sum(1 << c for c in some)).cast("short").alias("m"), F.xxhash64(*[F.col("keys")[c] for c in some]).alias("k")) for some in choices])
+    return rows.select("id", "fp", "keys", F.explode(made).alias("x")).select("id", "fp", "keys", F.col("x.m").alias("m"), F.col("x.k").alias("k"))
+
+
+def similar_links(classes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """Links of texts that share a smallest shingle and differ in at most ``radius`` bits. A block over ``hot`` is split
+    by a second and a third sketch; what shares three of six is alike but for rare cases, and few queries link it."""
+    out, rows = None, classes
+    for joint in (1, 2, 3):
+        level = blocked(rows, list(combinations(range(SKETCHES), joint)))
+        crowded = crowded_buckets(level, hot) if joint < 3 else None
+        mild = level if crowded is None else level.join(crowded, ["m", "k"], "left_anti")
+        found = links_in_buckets(mild, radius)
+        out = found if out is None else out.unionByName(found)
+        if crowded is None:
+            break
+        rows = cut(level.join(crowded, ["m", "k"], "left_semi").select("id", "fp", "keys").distinct())
+    return out
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, hot: int = HOT
+) -> DataFrame:
+    """The rows of ``docs`` but those linked to a smaller id, with all their columns.
+
+    Texts link if their fingerprints differ in no more bits than texts of this similarity do (``radius_for``) and they
+    share one of six smallest shingles, as texts of similarity 0.8 do but for one pair in 10,000. Of a component the
+    smallest id stays. Rows with a null id stay; rows that share an id share their fate."""
+    found = cut(sketched(docs, id_col, text_col, words_in_shingle))
+    classes = cut(found.groupBy("fp", "keys").agg(F.min("id").alias("id")))
+    tree = components(similar_links(classes, radius_for(similarity), hot))
+    first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id"))
+    kept = docs.join(first.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

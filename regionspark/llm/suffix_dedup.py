@@ -37,7 +37,7 @@ from .common import cut
 
 DEPTH, GRAM = 100, 32
 WINDOW = DEPTH - GRAM + 1
-CROWD = 20_000
+CROWD = 2_000
 #: Bytes handled at once, and runs of windows that a task folds at once.
 BLOCK, FOLD = 1 << 20, 1_000_000
 #: Documents that a filter may be broadcast for.
