@@ -127,11 +127,11 @@ def within(planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """64 planes of words; plane b holds bit b of the values, 64 of them in a word."""
-    n = len(values)
-    padded = np.full(-(-n // 64) * 64, ~np.uint64(0))
+    """Planes of words from rows of 64-bit numbers; plane b holds bit b of the rows, 64 of them in a word."""
+    n, wide = values.shape
+    padded = np.full((-(-n // 64) * 64, wide), ~np.uint64(0))
     padded[:n] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -159,7 +159,7 @@ class Forest:
 
 
 def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (larger, smaller position) of a spanning forest of one bucket's fingerprints, sorted ascending.
+    """Links (later, earlier position) of a spanning forest of one bucket's fingerprints.
 
     A fingerprint is compared with all behind it at once; queries whose tree already holds the whole bucket end it.
     """
@@ -173,7 +173,7 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
         word = (i + 1) // 64
         for at in range(word, planes.shape[1], BLOCK_WORDS):
             some = planes[:, at : at + BLOCK_WORDS]
-            query = np.where((fps[i] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1, ones, np.uint64(0))
+            query = np.where(np.unpackbits(fps[i].view(np.uint8), bitorder="little") == 1, ones, np.uint64(0))
             near = flags(within(some ^ query[:, None], radius), n - 64 * at)
             for j in np.flatnonzero(near) + 64 * at:
                 if j > i and forest.link(i, int(j)):
@@ -206,21 +206,22 @@ def partition_links(fps: np.ndarray, ids: np.ndarray, groups: np.ndarray, radius
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def links_in_buckets(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of ids within the buckets of rows (m, k, fp, id); a bucket meets in one task, its rows as three
-    numbers each."""
+def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """Links (a, b) of ids within the buckets of rows (m, k, id, fingerprint); a bucket meets in one task, its rows as a
+    few numbers each."""
+    names = ("m", "k", "id", *fps)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
+        held: list[np.ndarray] = [np.zeros((0, len(names)), np.int64)]
 
         def emit(table: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[False], (table[1:, 0] != table[:-1, 0]) | (table[1:, 1] != table[:-1, 1])])
-            fps = np.ascontiguousarray(table[:, 2]).view(np.uint64)
-            a, b = partition_links(fps, table[:, 3], np.cumsum(new), radius)
+            own = np.ascontiguousarray(table[:, 3:]).view(np.uint64)
+            a, b = partition_links(own, table[:, 2], np.cumsum(new), radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for part in parts:
-            held.append(np.stack([np.asarray(part.column(c)).astype(np.int64) for c in ("m", "k", "fp", "id")], axis=1))
+            held.append(np.stack([np.asarray(part.column(c)).astype(np.int64) for c in names], axis=1))
             if sum(map(len, held)) < 50_000:
                 continue
             table = np.concatenate(held)
@@ -233,7 +234,7 @@ def links_in_buckets(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
         if len(table):
             yield emit(table)
 
-    dealt = rows.select("m", "k", "fp", "id").repartition("m", "k").sortWithinPartitions("m", "k", "fp", "id")
+    dealt = rows.select(*names).repartition("m", "k").sortWithinPartitions("m", "k", *fps, "id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -295,41 +296,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def radius_for(similarity: float) -> int:
-    """Differing bits of 64 within which texts of this Jaccard similarity lie but for one in fifty: the angle between
-    their shingle sets, and two standard deviations."""
+def radius_for(similarity: float, bits: int) -> int:
+    """Differing bits within which texts of this Jaccard similarity lie but for one in fifty: the angle between their
+    shingle sets, and two standard deviations."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(64 * angle + 2 * np.sqrt(64 * angle * (1 - angle))))
+    return int(np.ceil(bits * angle + 2 * np.sqrt(bits * angle * (1 - angle))))
 
 
-#: Smallest shingle hashes, each under its own permutation, by which texts meet in blocks.
-SKETCHES = 6
+#: Smallest shingle hashes, each under its own permutation, by which texts meet in blocks; words of a wide fingerprint.
+SKETCHES, WIDE = 6, 4
+WIDE_COLUMNS = tuple(f"fp{i}" for i in range(WIDE))
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
-    """id, fp and keys: the smallest shingle hash under each of SKETCHES permutations."""
-    odd = np.random.default_rng(11).integers(1, 1 << 62, SKETCHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    """id, the wide fingerprint of the set of shingles (each counted once, so that repeated lines do not make texts
+    alike), and keys: the smallest shingle hash under each of SKETCHES permutations."""
+    odd = np.random.default_rng(11).integers(1, 1 << 62, SKETCHES + WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def scrambled(hashes: np.ndarray, by: np.uint64) -> np.ndarray:
+        x = (hashes ^ (hashes >> np.uint64(32))) * by
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in parts:
                 fps, keys = [], []
                 for text in part.column(1).cast(pa.binary()):
-                    hashes = shingle_hashes(text.as_py() or b"", words_in_shingle)
-                    fps.append(majority(hashes))
+                    hashes = np.unique(shingle_hashes(text.as_py() or b"", words_in_shingle))
+                    fps.append([majority(scrambled(hashes, by)) for by in odd[SKETCHES:]])
                     some = hashes if len(hashes) else np.zeros(1, np.uint64)
-                    mixed = some ^ (some >> np.uint64(32))
-                    keys.append([int((mixed * m).min().view(np.int64)) for m in odd])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+                    keys.append([int(scrambled(some, by).min().view(np.int64)) for by in odd[:SKETCHES]])
+                table = np.array(fps, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(WIDE)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", *WIDE_COLUMNS, "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, "id long, fp long, keys array<long>")
+    return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in WIDE_COLUMNS)}, keys array<long>")
 
 
 def blocked(rows: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
     """Each row under the joint values of the chosen sketches."""
     made = F.array(*[F.struct(F.lit(sum(1 << c for c in some)).cast("short").alias("m"), F.xxhash64(*[F.col("keys")[c] for c in some]).alias("k")) for some in choices])
-    return rows.select("id", "fp", "keys", F.explode(made).alias("x")).select("id", "fp", "keys", F.col("x.m").alias("m"), F.col("x.k").alias("k"))
+    kept = ("id", *WIDE_COLUMNS, "keys")
+    return rows.select(*kept, F.explode(made).alias("x")).select(*kept, F.col("x.m").alias("m"), F.col("x.k").alias("k"))
 
 
 def similar_links(classes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
@@ -340,11 +349,11 @@ def similar_links(classes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
         level = blocked(rows, list(combinations(range(SKETCHES), joint)))
         crowded = crowded_buckets(level, hot) if joint < 3 else None
         mild = level if crowded is None else level.join(crowded, ["m", "k"], "left_anti")
-        found = links_in_buckets(mild, radius)
+        found = links_in_buckets(mild, radius, WIDE_COLUMNS)
         out = found if out is None else out.unionByName(found)
         if crowded is None:
             break
-        rows = cut(level.join(crowded, ["m", "k"], "left_semi").select("id", "fp", "keys").distinct())
+        rows = cut(level.join(crowded, ["m", "k"], "left_semi").select("id", *WIDE_COLUMNS, "keys").distinct())
     return out
 
 
@@ -353,12 +362,13 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of ``docs`` but those linked to a smaller id, with all their columns.
 
-    Texts link if their fingerprints differ in no more bits than texts of this similarity do (``radius_for``) and they
-    share one of six smallest shingles, as texts of similarity 0.8 do but for one pair in 10,000. Of a component the
+    Texts link if their fingerprints of 256 bits, in which unrelated texts differ by half, differ in no more bits than
+    texts of this similarity do (``radius_for``) and they share one of six smallest shingles, as texts of similarity
+    0.8 do but for one pair in 10,000. Of a component the
     smallest id stays. Rows with a null id stay; rows that share an id share their fate."""
     found = cut(sketched(docs, id_col, text_col, words_in_shingle))
-    classes = cut(found.groupBy("fp", "keys").agg(F.min("id").alias("id")))
-    tree = components(similar_links(classes, radius_for(similarity), hot))
+    classes = cut(found.groupBy(*WIDE_COLUMNS, "keys").agg(F.min("id").alias("id")))
+    tree = components(similar_links(classes, radius_for(similarity, 64 * WIDE), hot))
     first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id"))
     kept = docs.join(first.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
