@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MAX_TRAIN = 5000
 #: Repeated windows up to which membership is tested one by one.
 FEW = 24
@@ -267,6 +269,7 @@ def judge(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id",
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. Ids should be unique: rows that share an id
     stay if one of them does."""
-    kept = judge(docs, learn_rules(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
+    # cut, so that the filter is not pushed below the statistics, where it would compute them anew for each condition
+    judged = cut(judge(docs, learn_rules(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col))
+    kept = judged.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
