@@ -142,7 +142,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
         ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
         return descend([rows[i] for i in some], np.where(labels[some] == 1, 1.0, -1.0), ratios, cost, epochs)
 
-    apart = np.arange(len(rows)) % 4 == 0
+    apart = np.zeros(len(rows), dtype=bool)
+    for y in (0, 1):
+        apart[np.flatnonzero(labels == y)[::4]] = True
     w, bias = model(np.flatnonzero(~apart)) if len(set(labels[~apart].tolist())) == 2 else model(np.arange(len(rows)))
     draft = Model(w, bias, 1.0, 0.0)
     slope, shift = logistic(np.array([draft.margin(rows[i]) for i in np.flatnonzero(apart)]), labels[apart])
