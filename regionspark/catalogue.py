@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as ad
+from . import plans, streaming
 from .functions import cache_id, safe_name, scaled_side
 from .operators import hierarchy, intervals, regions, sequence, state
 from .operators import segments as seg
@@ -503,6 +504,18 @@ def recover_processing(spark, d):
     return ad.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "unprocessed").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
+@query(None)
+def connected_components_8(spark, d):
+    return plans.connected_components(ad.pixels(spark, d))
+
+
+@query("""WITH made AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT user_id, event_type AS decision FROM made WHERE n = 1""")
+def edit_log_last_decision(spark, d):
+    log = ad.table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("seq"), F.lit("set").alias("op"), F.col("event_type").alias("decision"))
+    return streaming.folded_decisions(log, ["user_id"]).select("user_id", "decision")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,23 +79,34 @@ def group_ids(segments: DataFrame, measures: DataFrame, threshold: float = DUPLI
     Components are found image by image, on the pairs that link only; an image's pairs are few."""
     linked = measures.filter(F.col("iou") >= threshold).select("image", "sid_i", "sid_j")
 
-    def closed(pairs: pd.DataFrame) -> pd.DataFrame:
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs come sorted by image; one image's links are held at a time."""
+        at: int | None = None
         up: dict[int, int] = {}
 
         def root(i: int) -> int:
-            up.setdefault(i, i)
-            while up[i] != i:
+            while up.setdefault(i, i) != i:
                 up[i] = up[up[i]]
                 i = up[i]
             return i
 
-        for i, j in zip(pairs["sid_i"].tolist(), pairs["sid_j"].tolist(), strict=True):
-            a, b = root(i), root(j)
-            up[max(a, b)] = min(a, b)
-        members = sorted(up)
-        return pd.DataFrame({"image": pairs["image"].iloc[0], "sid": members, "group_id": [root(i) for i in members]})
-
-    grouped = linked.groupBy("image").applyInPandas(closed, "image long, sid long, group_id long")
+        for part in batches:
+            out: list[tuple[int, int, int]] = []
+            for image, i, j in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if image != at:
+                    out += [(at, sid, root(sid)) for sid in list(up)]
+                    at, up = image, {}
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            yield rows(out)
+        yield rows([(at, sid, root(sid)) for sid in list(up)])
+
+    def rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["image", "sid", "group_id"])
+
+    dealt = linked.repartition("image").sortWithinPartitions("image")
+    grouped = dealt.mapInArrow(closed, "image long, sid long, group_id long")
     joined = segments.join(grouped, ["image", "sid"], "left")
     return joined.withColumn("group_id", F.coalesce("group_id", "sid"))
 
