@@ -120,25 +120,24 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
-    # The counts come out of a generator of one element, below which a filter on them is not pushed: pushed down, a
-    # condition would compute the statistics anew wherever it names them.
-    counts = F.explode(
-        F.array(
-            F.struct(
-                F.col("n").cast("long").alias("n_words"),
-                F.length(without(F.col("t"), WHITE)).cast("long").alias("word_chars"),
-                (F.length("t") - F.length(without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
-                (F.length("t") - F.length(without(F.col("t"), "!"))).cast("long").alias("n_bangs"),
-                (F.length("t") - F.length(without(F.col("t"), "|"))).cast("long").alias("n_bars"),
-                (F.length("t") - F.length(without(F.col("t"), UPPER))).cast("long").alias("n_upper"),
-                F.size("lines").cast("long").alias("n_lines"),
-                (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-                repeat_words(F.col("words"), F.col("hashes")).cast("long").alias("n_repeat_words"),
-            )
-        )
+    counts = windows.select(
+        "doc_id",
+        *carried,
+        F.col("n").cast("long").alias("n_words"),
+        F.length(without(F.col("t"), WHITE)).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.length(without(F.col("t"), "!"))).cast("long").alias("n_bangs"),
+        (F.length("t") - F.length(without(F.col("t"), "|"))).cast("long").alias("n_bars"),
+        (F.length("t") - F.length(without(F.col("t"), UPPER))).cast("long").alias("n_upper"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        repeat_words(F.col("words"), F.col("hashes")).cast("long").alias("n_repeat_words"),
     )
-    counted = windows.select("doc_id", *carried, counts.alias("c")).select("doc_id", *carried, "c.*")
+    # They pass through a generator of one element, below which a filter on them is not pushed: pushed down, a condition
+    # would compute the statistics anew wherever it names them.
+    names = [c for c in counts.columns if c != "doc_id" and c not in carried]
+    counted = counts.select("doc_id", *carried, F.explode(F.array(F.struct(*names))).alias("c")).select("doc_id", *carried, "c.*")
 
     def share(part: str, whole: str) -> Column:
         return F.col(part) / F.greatest(F.col(whole), F.lit(1)).cast("double")
