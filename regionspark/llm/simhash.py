@@ -158,8 +158,14 @@ class Forest:
         return i != j
 
 
-def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (later, earlier position) of a spanning forest of one bucket's fingerprints.
+def agree(own: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """Whether signatures differ in at most ``most`` bits."""
+    return np.bitwise_count(own ^ other).sum(axis=-1, dtype=np.int64) <= most
+
+
+def bucket_links(fps: np.ndarray, radius: int = RADIUS, signatures: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Links (later, earlier position) of a spanning forest of one bucket's fingerprints, of those whose signatures
+    agree.
 
     A fingerprint is compared with all behind it at once; queries whose tree already holds the whole bucket end it.
     """
@@ -175,14 +181,20 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
             some = planes[:, at : at + BLOCK_WORDS]
             query = np.where(np.unpackbits(fps[i].view(np.uint8), bitorder="little") == 1, ones, np.uint64(0))
             near = flags(within(some ^ query[:, None], radius), n - 64 * at)
-            for j in np.flatnonzero(near) + 64 * at:
-                if j > i and forest.link(i, int(j)):
+            found = np.flatnonzero(near) + 64 * at
+            found = found[found > i]
+            if signatures is not None:
+                found = found[agree(signatures[found], signatures[i], most)]
+            for j in found:
+                if forest.link(i, int(j)):
                     links.append((int(j), i))
                     trees -= 1
     return links
 
 
-def partition_links(fps: np.ndarray, ids: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def partition_links(
+    fps: np.ndarray, ids: np.ndarray, groups: np.ndarray, radius: int = RADIUS, signatures: np.ndarray | None = None, most: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """Links within the groups of one sorted run of rows, as pairs of ids."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.append(starts, len(fps)))
@@ -195,29 +207,33 @@ def partition_links(fps: np.ndarray, ids: np.ndarray, groups: np.ndarray, radius
         left = np.repeat(at, room) + (np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room))
         for k in range(0, len(left), 64 * BLOCK_WORDS):
             some = left[k : k + 64 * BLOCK_WORDS]
-            near = flags(within(bit_planes(fps[some] ^ fps[some + shift]), radius), len(some))
-            a_out.append(ids[some[near] + shift])
-            b_out.append(ids[some[near]])
+            some = some[flags(within(bit_planes(fps[some] ^ fps[some + shift]), radius), len(some))]
+            if signatures is not None:
+                some = some[agree(signatures[some], signatures[some + shift], most)]
+            a_out.append(ids[some + shift])
+            b_out.append(ids[some])
     for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-        if links := bucket_links(fps[start : start + size], radius):
+        own = None if signatures is None else signatures[start : start + size]
+        if links := bucket_links(fps[start : start + size], radius, own, most):
             pairs = np.array(links) + start
             a_out.append(ids[pairs[:, 0]])
             b_out.append(ids[pairs[:, 1]])
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
-def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...] = ("fp",)) -> DataFrame:
+def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...] = ("fp",), signature: tuple[str, ...] = (), most: int = 0) -> DataFrame:
     """Links (a, b) of ids within the buckets of rows (m, k, id, fingerprint); a bucket meets in one task, its rows as a
-    few numbers each."""
-    names = ("m", "k", "id", *fps)
+    few numbers each. With a signature, links are only those whose signatures differ in at most ``most`` bits."""
+    names = ("m", "k", "id", *fps, *signature)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros((0, len(names)), np.int64)]
 
         def emit(table: np.ndarray) -> pa.RecordBatch:
             new = np.concatenate([[False], (table[1:, 0] != table[:-1, 0]) | (table[1:, 1] != table[:-1, 1])])
-            own = np.ascontiguousarray(table[:, 3:]).view(np.uint64)
-            a, b = partition_links(own, table[:, 2], np.cumsum(new), radius)
+            own = np.ascontiguousarray(table[:, 3 : 3 + len(fps)]).view(np.uint64)
+            signatures = np.ascontiguousarray(table[:, 3 + len(fps) :]).view(np.uint64) if signature else None
+            a, b = partition_links(own, table[:, 2], np.cumsum(new), radius, signatures, most)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for part in parts:
@@ -297,21 +313,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits within which texts of this Jaccard similarity lie but for one in fifty: the angle between their
-    shingle sets, and two standard deviations."""
+    """Differing bits within which texts of this Jaccard similarity lie but for one in a hundred: the angle between their
+    shingle sets, and 2.33 standard deviations."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * angle + 2 * np.sqrt(bits * angle * (1 - angle))))
+    return int(np.ceil(bits * angle + 2.33 * np.sqrt(bits * angle * (1 - angle))))
+
 
+def most_for(similarity: float, bits: int) -> int:
+    """Differing bits of signatures within which texts of this Jaccard similarity lie but for one in a hundred: a bit
+    differs for half of the smallest shingles that differ."""
+    differs = (1 - similarity) / 2
+    return int(np.ceil(bits * differs + 2.33 * np.sqrt(bits * differs * (1 - differs))))
 
-#: Smallest shingle hashes, each under its own permutation, by which texts meet in blocks; words of a wide fingerprint.
-SKETCHES, WIDE = 6, 4
+
+#: Smallest shingle hashes, each under its own permutation, by which texts meet in blocks; words of a wide fingerprint
+#: and of a signature.
+SKETCHES, WIDE, SIGNED = 6, 4, 16
 WIDE_COLUMNS = tuple(f"fp{i}" for i in range(WIDE))
+SIGNATURE_COLUMNS = tuple(f"s{i}" for i in range(SIGNED))
+#: Shingles whose hashes are permuted in one step.
+STEP = 1024
+
+
+def signature_of(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """One bit of the smallest of the hashes under each permutation; zeros for none."""
+    if not len(hashes):
+        return np.zeros(len(odd) // 64, dtype=np.uint64)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(odd), ~np.uint32(0))
+    for k in range(0, len(short), STEP):
+        np.minimum(least, np.multiply.outer(short[k : k + STEP], odd).min(axis=0), out=least)
+    return np.packbits((least >> np.uint32(5) & np.uint32(1)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
     """id, the wide fingerprint of the set of shingles (each counted once, so that repeated lines do not make texts
-    alike), and keys: the smallest shingle hash under each of SKETCHES permutations."""
-    odd = np.random.default_rng(11).integers(1, 1 << 62, SKETCHES + WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    alike), its signature, and keys: the smallest shingle hash under each of SKETCHES permutations."""
+    random = np.random.default_rng(11)
+    odd = random.integers(1, 1 << 62, SKETCHES + WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    small_odd = random.integers(1, 1 << 31, 64 * SIGNED, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
     def scrambled(hashes: np.ndarray, by: np.uint64) -> np.ndarray:
         x = (hashes ^ (hashes >> np.uint64(32))) * by
@@ -320,40 +360,43 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int)
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in parts:
-                fps, keys = [], []
+                rows, keys = [], []
                 for text in part.column(1).cast(pa.binary()):
                     hashes = np.unique(shingle_hashes(text.as_py() or b"", words_in_shingle))
-                    fps.append([majority(scrambled(hashes, by)) for by in odd[SKETCHES:]])
+                    rows.append([*(majority(scrambled(hashes, by)) for by in odd[SKETCHES:]), *signature_of(hashes, small_odd).tolist()])
                     some = hashes if len(hashes) else np.zeros(1, np.uint64)
                     keys.append([int(scrambled(some, by).min().view(np.int64)) for by in odd[:SKETCHES]])
-                table = np.array(fps, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-                columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(WIDE)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", *WIDE_COLUMNS, "keys"])
+                table = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", *names, "keys"])
 
+    names = (*WIDE_COLUMNS, *SIGNATURE_COLUMNS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in WIDE_COLUMNS)}, keys array<long>")
+    return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in names)}, keys array<long>")
 
 
 def blocked(rows: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
     """Each row under the joint values of the chosen sketches."""
     made = F.array(*[F.struct(F.lit(sum(1 << c for c in some)).cast("short").alias("m"), F.xxhash64(*[F.col("keys")[c] for c in some]).alias("k")) for some in choices])
-    kept = ("id", *WIDE_COLUMNS, "keys")
+    kept = ("id", *WIDE_COLUMNS, *SIGNATURE_COLUMNS, "keys")
     return rows.select(*kept, F.explode(made).alias("x")).select(*kept, F.col("x.m").alias("m"), F.col("x.k").alias("k"))
 
 
-def similar_links(classes: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """Links of texts that share a smallest shingle and differ in at most ``radius`` bits. A block over ``hot`` is split
-    by a second and a third sketch; what shares three of six is alike but for rare cases, and few queries link it."""
+def similar_links(classes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """Links of texts that share a smallest shingle and whose fingerprints and signatures differ in no more bits than
+    those of texts of this similarity. A block over ``hot`` is split by a second and a third sketch; what shares three
+    of six is alike but for rare cases, and few queries link it."""
+    radius, most = radius_for(similarity, 64 * WIDE), most_for(similarity, 64 * SIGNED)
     out, rows = None, classes
     for joint in (1, 2, 3):
         level = blocked(rows, list(combinations(range(SKETCHES), joint)))
         crowded = crowded_buckets(level, hot) if joint < 3 else None
         mild = level if crowded is None else level.join(crowded, ["m", "k"], "left_anti")
-        found = links_in_buckets(mild, radius, WIDE_COLUMNS)
+        found = links_in_buckets(mild, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)
         out = found if out is None else out.unionByName(found)
         if crowded is None:
             break
-        rows = cut(level.join(crowded, ["m", "k"], "left_semi").select("id", *WIDE_COLUMNS, "keys").distinct())
+        rows = cut(level.join(crowded, ["m", "k"], "left_semi").select("id", *WIDE_COLUMNS, *SIGNATURE_COLUMNS, "keys").distinct())
     return out
 
 
@@ -362,13 +405,14 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of ``docs`` but those linked to a smaller id, with all their columns.
 
-    Texts link if their fingerprints of 256 bits, in which unrelated texts differ by half, differ in no more bits than
-    texts of this similarity do (``radius_for``) and they share one of six smallest shingles, as texts of similarity
-    0.8 do but for one pair in 10,000. Of a component the
-    smallest id stays. Rows with a null id stay; rows that share an id share their fate."""
+    Texts link if they share one of six smallest shingles, as texts of similarity 0.8 do but for one pair in 10,000, if
+    their fingerprints of 256 bits, in which unrelated texts differ by half, differ in no more bits than texts of this
+    similarity do (``radius_for``), and if as much holds of signatures of 1,024 bits (``most_for``), which tell a
+    similarity of 0.8 from one of 0.7 by five standard deviations. Of a component the smallest id stays. Rows with a
+    null id stay; rows that share an id share their fate."""
     found = cut(sketched(docs, id_col, text_col, words_in_shingle))
-    classes = cut(found.groupBy(*WIDE_COLUMNS, "keys").agg(F.min("id").alias("id")))
-    tree = components(similar_links(classes, radius_for(similarity, 64 * WIDE), hot))
+    classes = cut(found.groupBy(*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "keys").agg(F.min("id").alias("id")))
+    tree = components(similar_links(classes, similarity, hot))
     first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id"))
     kept = docs.join(first.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -317,6 +317,10 @@ def test_carry_save_counters(radius):
     assert (simhash.flags(simhash.within(simhash.bit_planes(values), radius), 300) == (distance <= radius)).all()
 
 
+def rows_by_id(rows):
+    return {i: text for i, text in rows if i is not None}
+
+
 def test_near_stage_finds_similar_texts_only(spark):
     rng = random.Random(8)
 
@@ -333,6 +337,8 @@ def test_near_stage_finds_similar_texts_only(spark):
             words[rng.randrange(20, 190)] = "another"
             copies.append(500 + i)
             rows.append((500 + i, " ".join(words)))
+    for i in range(1, 40, 4):  # alike, but of a similarity of two thirds only
+        rows.append((600 + i, " ".join(rows_by_id(rows)[i].split()[:168] + text()[:40])))
     rows += [(None, "x"), (None, "x"), (700, None), (701, ""), (702, "few words")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (4096, 8):
@@ -341,6 +347,7 @@ def test_near_stage_finds_similar_texts_only(spark):
         assert left.columns == frame.columns
         assert not set(copies) & set(kept)
         assert set(range(80)) <= set(kept)
+        assert {600 + i for i in range(1, 40, 4)} <= set(kept)
         assert kept[None] == 2
         assert (kept[700], kept[701], kept[702]) == (1, 0, 1)
 
