@@ -257,6 +257,11 @@ def mask_apply_add(spark, d):
     return pixel_counts(intervals.combine(both, lambda c: c["a"] | c["b"]))
 
 
+@query(SIDES + " SELECT image, count(*) AS pixels FROM side WHERE base AND NOT added GROUP BY image")
+def mask_apply_exclude(spark, d):
+    return pixel_counts(intervals.exclude(member_intervals(spark, d, "v = 0"), member_intervals(spark, d, "v = 1")))
+
+
 @query(SIDES + " SELECT image, count(*) AS pixels FROM side WHERE added GROUP BY image")
 def mask_apply_replace(spark, d):
     return pixel_counts(intervals.union(member_intervals(spark, d, "v = 1")))
@@ -418,6 +423,27 @@ def frame_select_range(spark, d):
     return sequence.around(frames, reference, 3)
 
 
+@query(FRAMES + """, ref AS (SELECT seq_key, max(step) // 2 + 1 AS reference FROM frames GROUP BY 1)
+SELECT f.seq_key, f.step, row_number() OVER (PARTITION BY f.seq_key ORDER BY f.step) - 1 AS place, f.step = r.reference AS is_reference
+FROM frames f JOIN ref r ON r.seq_key = f.seq_key WHERE f.step % 4 = 1 OR f.step = r.reference""")
+def frame_select_explicit(spark, d):
+    frames = ad.frames(spark, d)
+    reference = frames.groupBy("seq_key").agg(F.expr("max(step) div 2 + 1").alias("step"))
+    return sequence.chosen(frames, frames.filter("step % 4 = 1"), reference)
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END ASC NULLS LAST, o_orderkey) AS place FROM orders""")
+def order_capture(spark, d):
+    rows = ad.table(spark, d, "orders").withColumn("taken", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")))
+    return sequence.placed(rows, "o_custkey", "taken", "o_orderkey").select("o_orderkey", "place")
+
+
+@query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 3 <> 0 THEN p_size END ASC NULLS LAST, p_partkey) AS place FROM part""")
+def order_registered(spark, d):
+    rows = ad.table(spark, d, "part").withColumn("registration_index", F.when(F.col("p_size") % 3 != 0, F.col("p_size")))
+    return sequence.placed(rows, "p_brand", "registration_index", "p_partkey").select("p_partkey", "place")
+
+
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
 def dedup_keep_first(spark, d):
     return sequence.keep_first(ad.table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")

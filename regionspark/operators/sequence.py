@@ -35,6 +35,23 @@ def around(frames: DataFrame, reference: DataFrame, n: int) -> DataFrame:
     return chosen.select("seq_key", "step", (F.col("reference") - first).alias("reference_index"))
 
 
+def chosen(frames: DataFrame, wanted: DataFrame, reference: DataFrame) -> DataFrame:
+    """The wanted frames of each sequence and its reference, each once and in order, with their places and whether they
+    are the reference. Wanted steps that a sequence lacks drop out."""
+    steps = wanted.select("seq_key", "step").unionByName(reference.select("seq_key", "step")).distinct()
+    flagged = frames.select("seq_key", "step").distinct().join(steps, ["seq_key", "step"], "left_semi")
+    marked = flagged.join(reference.select("seq_key", F.col("step").alias("_reference")), "seq_key", "left")
+    place = F.row_number().over(Window.partitionBy("seq_key").orderBy("step")) - 1
+    return marked.select("seq_key", "step", place.cast("long").alias("place"), F.coalesce(F.col("step") == F.col("_reference"), F.lit(False)).alias("is_reference"))
+
+
+def placed(rows: DataFrame, group: str, value: str, index: str) -> DataFrame:
+    """Places by a value that may be missing, such as a registration index or a time of capture: missing ones come last,
+    ties go by the index in the list."""
+    order = Window.partitionBy(group).orderBy(F.asc_nulls_last(value), F.asc_nulls_last(index))
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def keep_first(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
