@@ -226,7 +226,7 @@ def leaf_signatures_topk(spark, d):
 # masks
 
 
-@query(IV + """, o AS (SELECT image, s, e, max(e) OVER (PARTITION BY image ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+@query(IV + """, o AS (SELECT image, s, e, max(e) OVER (PARTITION BY image ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT image, s, e FROM iv)),
 g AS (SELECT image, s, e, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY image ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT image, min(s) AS s, max(e) AS e FROM g GROUP BY image, island""")
 def mask_union_intervals(spark, d):
@@ -535,6 +535,13 @@ def connected_components_8(spark, d):
     return plans.connected_components(ad.pixels(spark, d))
 
 
+@query(None)
+def merge_small(spark, d):
+    px = ad.pixels(spark, d)
+    means = px.groupBy("image", "label").agg(F.count("*").alias("area"), F.avg("grad").alias("grad"))
+    return plans.small_regions_merged(means, regions.adjacency(px), 8, ("grad",))
+
+
 @query("""WITH made AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
 SELECT user_id, event_type AS decision FROM made WHERE n = 1""")
 def edit_log_last_decision(spark, d):
