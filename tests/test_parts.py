@@ -55,6 +55,25 @@ def test_components(spark):
     assert four[8] != four[0]
 
 
+def test_small_regions(spark):
+    rows = [
+        *((1, n, area, c) for n, area, c in ((1, 50, 0.0), (2, 3, 1.0), (3, 2, 1.5), (4, 60, 9.0), (5, 4, 4.5))),
+        *((2, n, area, c) for n, area, c in ((1, 2, 0.0), (2, 3, 1.0), (3, 3, 5.0))),
+        (3, 7, 1, 2.0),
+        *((4, n, area, c) for n, area, c in ((1, 2, 0.0), (2, 2, 4.0), (3, 2, 5.0), (4, 90, 5.5))),
+    ]
+    edges = [(1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 1, 5), (1, 4, 5), (2, 1, 2), (2, 2, 3), (4, 1, 2), (4, 2, 3), (4, 3, 4)]
+    regions = spark.createDataFrame(rows, "image long, label long, area long, c double")
+    graph = spark.createDataFrame(edges, "image long, a long, b long")
+    got = {}
+    for r in plans.small_regions_merged(regions, graph, 10, ("c",)).collect():
+        got.setdefault(r.image, {})[r.label] = r.merged
+    assert got[1] == {1: 1, 2: 1, 3: 4, 4: 4, 5: 1}  # a large neighbour before a nearer small one; of equals the lowest
+    assert got[2] == {1: 1, 2: 2, 3: 2}  # 1 and 2 pick each other and stay, 3 joins
+    assert got[3] == {7: 7}
+    assert got[4] == {1: 4, 2: 4, 3: 4, 4: 4}  # a chain ends in the large one
+
+
 def test_tree_cut(spark):
     rows = [(1, 1, None, None, 0.0), (1, 2, None, None, 0.0), (1, 3, None, None, 0.0), (1, 4, 1, 2, 0.1), (1, 5, 4, 3, 0.2)]
     frame = spark.createDataFrame(rows, "image long, node_id long, left_id long, right_id long, merge_cost double")
@@ -62,6 +81,16 @@ def test_tree_cut(spark):
     assert shown == {1: [5], 2: [3, 4], 3: [1, 2, 3], 9: [1, 2, 3]}
 
 
+def test_merge_small_query(spark):
+    """Every region goes to a region of its own image that goes to itself."""
+    from regionspark import catalogue
+
+    rows = catalogue.queries()["merge_small"](spark, "/root/testdata/sf0.001").collect()
+    goes = {(r.image, r.label): r.merged for r in rows}
+    assert len(goes) == len(rows) > 0
+    assert all(goes[image, merged] == merged for (image, _), merged in goes.items())
+
+
 def test_entry(spark):
     import __spark_entry__
 
