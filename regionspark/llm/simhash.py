@@ -348,7 +348,7 @@ def signature_of(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
     """id, the wide fingerprint of the set of shingles (each counted once, so that repeated lines do not make texts
-    alike), its signature, and keys: the smallest shingle hash under each of SKETCHES permutations."""
+    alike), its signature, the size of that set, and keys: the smallest shingle hash under each of SKETCHES permutations."""
     random = np.random.default_rng(11)
     odd = random.integers(1, 1 << 62, SKETCHES + WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     small_odd = random.integers(1, 1 << 31, 64 * SIGNED, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -363,41 +363,54 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int)
                 rows, keys = [], []
                 for text in part.column(1).cast(pa.binary()):
                     hashes = np.unique(shingle_hashes(text.as_py() or b"", words_in_shingle))
-                    rows.append([*(majority(scrambled(hashes, by)) for by in odd[SKETCHES:]), *signature_of(hashes, small_odd).tolist()])
+                    rows.append([*(majority(scrambled(hashes, by)) for by in odd[SKETCHES:]), *signature_of(hashes, small_odd).tolist(), len(hashes)])
                     some = hashes if len(hashes) else np.zeros(1, np.uint64)
                     keys.append([int(scrambled(some, by).min().view(np.int64)) for by in odd[:SKETCHES]])
                 table = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
                 columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", *names, "keys"])
 
-    names = (*WIDE_COLUMNS, *SIGNATURE_COLUMNS)
+    names = (*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in names)}, keys array<long>")
 
 
-def blocked(rows: DataFrame, choices: list[tuple[int, ...]]) -> DataFrame:
-    """Each row under the joint values of the chosen sketches."""
-    made = F.array(*[F.struct(F.lit(sum(1 << c for c in some)).cast("short").alias("m"), F.xxhash64(*[F.col("keys")[c] for c in some]).alias("k")) for some in choices])
-    kept = ("id", *WIDE_COLUMNS, *SIGNATURE_COLUMNS, "keys")
+def blocked(rows: DataFrame) -> DataFrame:
+    """Each row under each of its sketches."""
+    made = F.array(*[F.struct(F.lit(c).cast("short").alias("m"), F.col("keys")[c].alias("k")) for c in range(SKETCHES)])
+    kept = ("id", *WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size")
     return rows.select(*kept, F.explode(made).alias("x")).select(*kept, F.col("x.m").alias("m"), F.col("x.k").alias("k"))
 
 
+def tiled(rows: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Rows of crowded blocks under tiles of about 2 * ``hot`` rows, so that each two rows of a block whose sizes allow
+    the similarity meet in one.
+
+    Sets of this similarity differ in size by at most its inverse, so they lie in one band of sizes or in two adjacent
+    ones. A band and the one below are cut into parts by id, and each two parts are a tile. Tiles whose hashes are equal
+    meet too, which only adds comparisons."""
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) * (0.999 / -np.log(similarity)))
+    banded = rows.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    held = banded.groupBy("m", "k", "band").agg(F.count("*").alias("n"), F.max(F.col("own") == F.col("band")).alias("any"))
+    parts = cut(held.filter("any").select("m", "k", "band", F.ceil(F.col("n") / hot).cast("long").alias("parts")))
+    placed = banded.join(F.broadcast(parts) if parts.count() <= 100_000 else parts, ["m", "k", "band"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tile = F.xxhash64("k", "band", F.least("part", "other"), F.greatest("part", "other"))
+    return placed.withColumn("k", tile).drop("own", "band", "parts", "part", "other")
+
+
 def similar_links(classes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
     """Links of texts that share a smallest shingle and whose fingerprints and signatures differ in no more bits than
-    those of texts of this similarity. A block over ``hot`` is split by a second and a third sketch; what shares three
-    of six is alike but for rare cases, and few queries link it."""
+    those of texts of this similarity. A block over ``hot`` is compared by tiles, and no pair in it is left out."""
     radius, most = radius_for(similarity, 64 * WIDE), most_for(similarity, 64 * SIGNED)
-    out, rows = None, classes
-    for joint in (1, 2, 3):
-        level = blocked(rows, list(combinations(range(SKETCHES), joint)))
-        crowded = crowded_buckets(level, hot) if joint < 3 else None
-        mild = level if crowded is None else level.join(crowded, ["m", "k"], "left_anti")
-        found = links_in_buckets(mild, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)
-        out = found if out is None else out.unionByName(found)
-        if crowded is None:
-            break
-        rows = cut(level.join(crowded, ["m", "k"], "left_semi").select("id", *WIDE_COLUMNS, *SIGNATURE_COLUMNS, "keys").distinct())
-    return out
+    level = blocked(classes)
+    crowded = crowded_buckets(level, hot)
+    if crowded is None:
+        return links_in_buckets(level, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)
+    mild = links_in_buckets(level.join(crowded, ["m", "k"], "left_anti"), radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)
+    tiles = tiled(level.join(crowded, ["m", "k"], "left_semi"), similarity, hot)
+    return mild.unionByName(links_in_buckets(tiles, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most))
 
 
 def drop_near_copies(
@@ -411,7 +424,7 @@ def drop_near_copies(
     similarity of 0.8 from one of 0.7 by five standard deviations. Of a component the smallest id stays. Rows with a
     null id stay; rows that share an id share their fate."""
     found = cut(sketched(docs, id_col, text_col, words_in_shingle))
-    classes = cut(found.groupBy(*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "keys").agg(F.min("id").alias("id")))
+    classes = cut(found.groupBy(*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size", "keys").agg(F.min("id").alias("id")))
     tree = components(similar_links(classes, similarity, hot))
     first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id"))
     kept = docs.join(first.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
