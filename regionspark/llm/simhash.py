@@ -194,11 +194,11 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS, signatures: np.ndarray |
 
 def partition_links(
     fps: np.ndarray, ids: np.ndarray, groups: np.ndarray, radius: int = RADIUS, signatures: np.ndarray | None = None, most: int = 0
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups of one sorted run of rows, as pairs of ids."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within the groups of one sorted run of rows, as pairs of ids, and the group of each."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.append(starts, len(fps)))
-    a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a_out, b_out, at_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     # small buckets side by side: the s-th neighbours of all of them form one row of comparisons
     small = (sizes > 1) & (sizes <= 16)
     for shift in range(1, int(sizes[small].max()) if small.any() else 1):
@@ -212,18 +212,35 @@ def partition_links(
                 some = some[agree(signatures[some], signatures[some + shift], most)]
             a_out.append(ids[some + shift])
             b_out.append(ids[some])
+            at_out.append(groups[some])
     for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
         own = None if signatures is None else signatures[start : start + size]
         if links := bucket_links(fps[start : start + size], radius, own, most):
             pairs = np.array(links) + start
             a_out.append(ids[pairs[:, 0]])
             b_out.append(ids[pairs[:, 1]])
-    return np.concatenate(a_out), np.concatenate(b_out)
+            at_out.append(groups[pairs[:, 1]])
+    return np.concatenate(a_out), np.concatenate(b_out), np.concatenate(at_out)
+
+
+def trees_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for the tree of each link between ids, the same wherever a tree has the same ids."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(ids))
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        forest.link(i, j)
+    roots = np.array([forest.root(i) for i in range(len(ids))], dtype=np.int64)
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    sums = np.zeros(len(ids), dtype=np.uint64)
+    np.add.at(sums, roots, mixed ^ (mixed >> np.uint64(32)))
+    return sums[roots[at[: len(a)]]].view(np.int64)
 
 
 def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...] = ("fp",), signature: tuple[str, ...] = (), most: int = 0) -> DataFrame:
     """Links (a, b) of ids within the buckets of rows (m, k, id, fingerprint); a bucket meets in one task, its rows as a
-    few numbers each. With a signature, links are only those whose signatures differ in at most ``most`` bits."""
+    few numbers each. With a signature, links are only those whose signatures differ in at most ``most`` bits, and g tells
+    the tree of a link."""
     names = ("m", "k", "id", *fps, *signature)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +250,14 @@ def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...]
             new = np.concatenate([[False], (table[1:, 0] != table[:-1, 0]) | (table[1:, 1] != table[:-1, 1])])
             own = np.ascontiguousarray(table[:, 3 : 3 + len(fps)]).view(np.uint64)
             signatures = np.ascontiguousarray(table[:, 3 + len(fps) :]).view(np.uint64) if signature else None
-            a, b = partition_links(own, table[:, 2], np.cumsum(new), radius, signatures, most)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, bucket = partition_links(own, table[:, 2], np.cumsum(new), radius, signatures, most)
+            if not signature:
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            order = np.argsort(bucket, kind="stable")
+            a, b, bucket = a[order], b[order], bucket[order]
+            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(a))
+            trees = [trees_of(a[i:j], b[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if j > i]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([np.zeros(0, np.int64), *trees]))], names=["a", "b", "g"])
 
         for part in parts:
             held.append(np.stack([np.asarray(part.column(c)).astype(np.int64) for c in names], axis=1))
@@ -251,7 +274,7 @@ def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...]
             yield emit(table)
 
     dealt = rows.select(*names).repartition("m", "k").sortWithinPartitions("m", "k", *fps, "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, g long" if signature else "a long, b long")
 
 
 def crowded_buckets(rows: DataFrame, hot: int) -> DataFrame | None:
@@ -312,18 +335,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+#: Standard deviations by which the estimates may miss a similarity; links are then decided by the sets themselves.
+DEVIATIONS = 6
+
+
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits within which texts of this Jaccard similarity lie but for one in a hundred: the angle between their
-    shingle sets, and 2.33 standard deviations."""
+    """Differing bits within which texts of this Jaccard similarity lie: the angle between their shingle sets, and
+    ``DEVIATIONS`` standard deviations."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * angle + 2.33 * np.sqrt(bits * angle * (1 - angle))))
+    return int(np.ceil(bits * angle + DEVIATIONS * np.sqrt(bits * angle * (1 - angle))))
 
 
 def most_for(similarity: float, bits: int) -> int:
-    """Differing bits of signatures within which texts of this Jaccard similarity lie but for one in a hundred: a bit
-    differs for half of the smallest shingles that differ."""
+    """Differing bits of signatures within which texts of this Jaccard similarity lie: a bit differs for half of the
+    smallest shingles that differ, and ``DEVIATIONS`` standard deviations."""
     differs = (1 - similarity) / 2
-    return int(np.ceil(bits * differs + 2.33 * np.sqrt(bits * differs * (1 - differs))))
+    return int(np.ceil(bits * differs + DEVIATIONS * np.sqrt(bits * differs * (1 - differs))))
 
 
 #: Smallest shingle hashes, each under its own permutation, by which texts meet in blocks; words of a wide fingerprint
@@ -346,9 +373,12 @@ def signature_of(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return np.packbits((least >> np.uint32(5) & np.uint32(1)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int, with_set: bool = False) -> DataFrame:
     """id, the wide fingerprint of the set of shingles (each counted once, so that repeated lines do not make texts
-    alike), its signature, the size of that set, and keys: the smallest shingle hash under each of SKETCHES permutations."""
+    alike), its signature, the size of that set and a hash of it, and keys: the smallest shingle hash under each of SKETCHES permutations;
+    ``with_set`` adds the hashes themselves as shingles."""
+    import xxhash
+
     random = np.random.default_rng(11)
     odd = random.integers(1, 1 << 62, SKETCHES + WIDE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     small_odd = random.integers(1, 1 << 31, 64 * SIGNED, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -360,19 +390,22 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int)
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for part in parts:
-                rows, keys = [], []
+                rows, keys, sets = [], [], []
                 for text in part.column(1).cast(pa.binary()):
                     hashes = np.unique(shingle_hashes(text.as_py() or b"", words_in_shingle))
-                    rows.append([*(majority(scrambled(hashes, by)) for by in odd[SKETCHES:]), *signature_of(hashes, small_odd).tolist(), len(hashes)])
+                    rows.append([*(majority(scrambled(hashes, by)) for by in odd[SKETCHES:]), *signature_of(hashes, small_odd).tolist(), len(hashes), xxhash.xxh64_intdigest(hashes.tobytes())])
+                    if with_set:
+                        sets.append(hashes.tobytes())
                     some = hashes if len(hashes) else np.zeros(1, np.uint64)
                     keys.append([int(scrambled(some, by).min().view(np.int64)) for by in odd[:SKETCHES]])
                 table = np.array(rows, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
                 columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", *names, "keys"])
+                columns += [pa.array(keys, pa.list_(pa.int64())), *([pa.array(sets, pa.binary())] if with_set else [])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", *names, "keys", *(["shingles"] if with_set else [])])
 
-    names = (*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size")
+    names = (*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size", "whole")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in names)}, keys array<long>")
+    return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in names)}, keys array<long>{', shingles binary' if with_set else ''}")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -413,19 +446,79 @@ def similar_links(classes: DataFrame, similarity: float, hot: int = HOT) -> Data
     return mild.unionByName(links_in_buckets(tiles, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most))
 
 
+def exact_forest(signatures: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> list[tuple[int, int]]:
+    """Links (later, earlier position) of a spanning forest of the pairs whose sets have at least this Jaccard
+    similarity; only pairs of different trees whose signatures agree are looked at."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, tree, links, trees = np.zeros(len(values), dtype=bool), np.arange(len(sets)), [], len(sets)
+    for i in range(len(sets) - 1):
+        if trees == 1:
+            break
+        found = np.flatnonzero(tree[i + 1 :] != tree[i]) + i + 1
+        found = found[agree(signatures[found], signatures[i], most)]
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        marked[own] = True
+        for j in found.tolist():
+            if tree[j] == tree[i]:
+                continue
+            shared = np.count_nonzero(marked[codes[ends[j] - sizes[j] : ends[j]]])
+            if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
+                tree[tree == tree[j]] = tree[i]
+                links.append((j, i))
+                trees -= 1
+        marked[own] = False
+    return links
+
+
+def exact_links(docs: DataFrame, near: DataFrame, id_col: str, text_col: str, words_in_shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of ids that the trees of ``near`` join and whose shingle sets have at least this Jaccard similarity.
+
+    The sets (64-bit hashes) are made again for the ids with a candidate only; a tree is no larger than its block or
+    tile, and equal trees of several blocks are looked at once."""
+    members = cut(near.select("g", F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = members.select(F.col("id").alias("_wanted")).distinct()
+    texts = docs.join(wanted, docs[id_col].cast("long") == F.col("_wanted"), "left_semi")
+    names, most = SIGNATURE_COLUMNS, most_for(similarity, 64 * SIGNED)
+    sets = sketched(texts, id_col, text_col, words_in_shingle, with_set=True).select("id", *names, "shingles").distinct()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            signatures = np.array([x[2] for x in held], dtype=np.int64).view(np.uint64)
+            pairs = exact_forest(signatures, [np.frombuffer(x[3], dtype=np.uint64) for x in held], similarity, most)
+            ends = [pa.array([held[p[e]][1] for p in pairs], pa.int64()) for e in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        for part in parts:
+            columns = np.stack([np.asarray(part.column(c)) for c in names], axis=1)
+            for row in zip(part.column("g").to_pylist(), part.column("id").to_pylist(), columns, part.column("shingles").to_pylist(), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield emit()
+                    held = []
+                held.append(row)
+        if held:
+            yield emit()
+
+    dealt = members.join(sets, "id").select("g", "id", *names, "shingles").repartition("g").sortWithinPartitions("g", "id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, hot: int = HOT
 ) -> DataFrame:
     """The rows of ``docs`` but those linked to a smaller id, with all their columns.
 
-    Texts link if they share one of six smallest shingles, as texts of similarity 0.8 do but for one pair in 10,000, if
-    their fingerprints of 256 bits, in which unrelated texts differ by half, differ in no more bits than texts of this
-    similarity do (``radius_for``), and if as much holds of signatures of 1,024 bits (``most_for``), which tell a
-    similarity of 0.8 from one of 0.7 by five standard deviations. Of a component the smallest id stays. Rows with a
-    null id stay; rows that share an id share their fate."""
+    Texts link if their sets of shingles have this Jaccard similarity. Candidates share one of six smallest shingles, as
+    texts of similarity 0.8 do but for one pair in 10,000; fingerprints of 256 bits (``radius_for``) and signatures of
+    1,024 bits (``most_for``) sort out what is well below the similarity, and the sets of the others decide. Of a
+    component the smallest id stays. Rows with a null id stay; rows that share an id share their fate."""
     found = cut(sketched(docs, id_col, text_col, words_in_shingle))
-    classes = cut(found.groupBy(*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size", "keys").agg(F.min("id").alias("id")))
-    tree = components(similar_links(classes, similarity, hot))
+    classes = cut(found.groupBy(*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size", "whole", "keys").agg(F.min("id").alias("id")))
+    near = similar_links(classes, similarity, hot)
+    tree = components(exact_links(docs, near, id_col, text_col, words_in_shingle, similarity))
     first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id"))
     kept = docs.join(first.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

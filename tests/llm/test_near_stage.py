@@ -19,3 +19,34 @@ def test_a_pair_that_shares_one_crowded_sketch_links(spark):
     for hot in (4096, 8):
         found = {(max(r.a, r.b), min(r.a, r.b)) for r in simhash.similar_links(frame, 0.8, hot).collect()}
         assert {(50, 3), (11, 10)} <= found <= {(50, 3), (11, 10), (40, 20)}
+
+
+def test_links_are_decided_by_the_sets(spark):
+    """Pairs of similarity 176/216 go, pairs of 171/221 stay."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        rows.append((i, " ".join(words)))
+        for k in range(4 if i < 60 else 5):
+            words[10 + 30 * k] = f"new{i}x{k}"
+        rows.append((1000 + i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (4096, 8):
+        kept = {r.doc_id for r in simhash.drop_near_copies(frame, hot=hot).collect()}
+        assert kept == {*range(120), *range(1060, 1120)}
+
+
+def test_exact_forest_is_that_of_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(60)]
+    links = simhash.exact_forest(np.zeros((60, simhash.SIGNED), np.uint64), sets, 0.5, 0)
+    up = list(range(60))
+    for j, i in links:
+        up = [up[i] if x == up[j] else x for x in up]
+    for i in range(60):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= 0.5 * (len(sets[i]) + len(sets[j]) - shared):
+                assert up[i] == up[j]
+    assert all(len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])) for j, i in links)
