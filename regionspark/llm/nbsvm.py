@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes support vectors.
 
 A text is a set of n-gram indicators. Its words are reduced to shapes (runs of upper case, lower case, digits and each
-other character, with a mark where a word equals the one before); n-grams of one to three shapes are present if they
+other character, with a mark where a word equals the one before; a word of over eight runs gives several shapes, so
+that all of it takes part); n-grams of one to three shapes are present if they
 occur at all, and present again for each of some shares of all n-grams that they reach, so that junk in a part of a
 text shows. Indicators are scaled by the classes' log-count ratios, and a linear hinge-loss model is fitted to them by
 dual coordinate descent; a logistic curve, fitted on rows set apart, turns margins into scores from 0 to 1.
@@ -35,23 +36,26 @@ THRESHOLD = 0.3
 FOLDS = 5
 
 _RUNS = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|(.)", re.S)
-_shapes: dict[str, str] = {}
+_shapes: dict[str, list[str]] = {}
+#: Runs in one part of a word, and characters of the longest word whose shapes are kept.
+PART, KNOWN = 8, 64
 
 
-def shape(word: str) -> str:
-    """Runs of upper case as X, of lower case as x, of digits as 9, and other characters once a run; eight at most."""
+def shapes_of(word: str) -> list[str]:
+    """Runs of upper case as X, of lower case as x, of digits as 9, and other characters once a run, of the whole word;
+    consecutive parts of eight runs."""
     found = _shapes.get(word)
     if found is None:
         out: list[str] = []
-        for m in _RUNS.finditer(word[:64]):
+        for m in _RUNS.finditer(word):
             c = "Xx9"[m.lastindex - 1] if m.lastindex < 4 else ("X" if m[4].isupper() else "x" if m[4].isalpha() else m[4])
             if not out or out[-1] != c:
                 out.append(c)
-            if len(out) == 8:
-                break
-        if len(_shapes) > 100_000:
-            _shapes.clear()
-        found = _shapes[word] = "".join(out)
+        found = ["".join(out[k : k + PART]) for k in range(0, len(out), PART)]
+        if len(word) <= KNOWN:
+            if len(_shapes) > 100_000:
+                _shapes.clear()
+            _shapes[word] = found
     return found
 
 
@@ -60,8 +64,9 @@ def indicators(text: str) -> np.ndarray:
     words = text.split()
     if not words:
         return np.array([0], dtype=np.int32)
-    shapes = [shape(w) for w in words]
-    shapes[1:] = [s + "=" if a == b else s for s, a, b in zip(shapes[1:], words[1:], words, strict=False)]
+    shapes = list(shapes_of(words[0]))
+    for a, b in zip(words[1:], words, strict=False):
+        shapes += [s + "=" for s in shapes_of(a)] if a == b else shapes_of(a)
     present = set()
     for run in (shapes, list(zip(shapes, shapes[1:])), list(zip(shapes, shapes[1:], shapes[2:]))):
         total = len(run)
