@@ -10,30 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ancestors(nodes: DataFrame, levels: int = 4) -> DataFrame:
-    """(node_id, ancestor_id, distance) of every node and itself and all above it, for trees under 2 ** levels deep."""
-    step = nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id"))
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node_id, ancestor_id, distance) of every node and itself and all above it, however deep; an error on cycles."""
+    step = nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id")).localCheckpoint()
     known = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance"))
-    reach = 1
-    for _ in range(levels):
+    reach, most = 1, nodes.count()
+    while not step.isEmpty():
+        if reach > most:
+            raise ValueError("the parents form a cycle")
         up = step.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
         further = known.join(up, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id"), (F.col("distance") + reach).alias("distance"))
+        longer = step.join(up, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id")).localCheckpoint()
         known = known.unionByName(further)
-        step = step.join(up, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id"))
+        if not longer.isEmpty():
+            known = known.localCheckpoint()
+        step = longer
         reach *= 2
     return known
 
 
-def effective_decisions(nodes: DataFrame, decisions: DataFrame, levels: int = 4) -> DataFrame:
+def effective_decisions(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
     """The decision of the nearest node at or above each node, else ``unreviewed``."""
-    held = ancestors(nodes, levels).join(decisions.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id")
+    held = ancestors(nodes).join(decisions.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id")
     nearest = held.groupBy("node_id").agg(F.min_by("decision", "distance").alias("decision"))
     return nodes.join(nearest, "node_id", "left").select("node_id", "kind", F.coalesce("decision", F.lit("unreviewed")).alias("decision"))
 
 
-def descendant_counts(nodes: DataFrame, levels: int = 4) -> DataFrame:
+def descendant_counts(nodes: DataFrame) -> DataFrame:
     """Number of nodes below each node."""
-    below = ancestors(nodes, levels).filter("distance > 0").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
+    below = ancestors(nodes).filter("distance > 0").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("n"))
     return nodes.join(below, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0).cast("long")).alias("descendants"))
 
 
