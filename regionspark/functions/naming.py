@@ -14,10 +14,16 @@ def cache_id(key: Column) -> Column:
 def natural_key(name: Column) -> Column:
     """A string that sorts as the name with its digit runs compared as numbers and its letters in lower case."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 20, "0")).otherwise(p))
+
+    def numbered(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    padded = F.transform(parts, numbered)
     return F.array_join(padded, "")
 
 
 def safe_name(index: Column, name: Column, width: int = 6) -> Column:
-    """Zero-padded index and the name with path separators replaced."""
-    return F.concat(F.lpad(index.cast("string"), width, "0"), F.lit("_"), F.translate(name, "/\\:", "___"))
+    """Zero-padded index, longer ones whole, and the name with path separators replaced."""
+    number = F.when(index.isNotNull(), F.format_string(f"%0{width}d", index.cast("long")))
+    return F.concat(number, F.lit("_"), F.translate(name, "/\\:", "___"))
