@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import as_words32, batches, encoder
+from .bpe import encoder, ends_of, slices
 from .common import cut, offsets_by_bucket, partitions
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,14 +35,16 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
     """doc_id, piece, start, length and ids_crc32 of every piece."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, as_words32)
+        coder = encoder(path)
         end = int(end_id).to_bytes(4, "little")
         for part in parts:
             ids, position = part.column(0).to_pylist(), 0
-            for some in batches(part.column(1).to_pylist()):
+            for some in slices(part.column(1)):
+                encoded, counts = coder.column(some)
+                raw, cuts = encoded.astype("<i4", copy=False).tobytes(), (4 * ends_of(counts)).tolist()
                 rows: list[tuple] = []
-                for words in coder.texts(some):
-                    stream = b"".join(words) + end
+                for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                    stream = raw[first:last] + end
                     rows += [
                         (ids[position], k, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids))
                         for k, at in enumerate(range(0, len(stream), 4 * capacity))

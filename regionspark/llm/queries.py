@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, licenses, nbsvm, packing, quality_rules, sharding, simhash, suffix_dedup, token_count
 from .common import table
@@ -33,8 +34,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
+    """Digests of the ids of every text and of the text that they decode to."""
+    return bpe.encode(docs, path, decoded=True).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

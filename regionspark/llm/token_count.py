@@ -7,32 +7,38 @@ Two deterministic transducers are compiled from a byte-level vocabulary file:
   map; the maps are composed by a parallel prefix scan (log2 steps over all chunks), which gives the state in which
   each chunk is entered; a second run from that state emits the marks. A text may thus be cut anywhere, and very long
   texts cost no more by character than short ones;
-* the counter reads the bytes of a piece. Its states are prefixes; a transition is annotated with the number of tokens
-  that it emits (it may be negative where tokens merge). States are compiled when they are first met: the last token
-  of a prefix is the one suffix token that may follow the last token of the prefix before it, which the merge ranks
-  along the two touching sides decide. States are remembered up to a bound, then the compilation starts anew.
+* the counter reads the bytes of a piece. A transition is annotated with the number of tokens that it emits (it may be
+  negative where tokens merge). What may still come depends on a prefix only through its longest end that begins some
+  token, and through the last tokens of the prefixes that stop within that end, with their counts; these make up a
+  state. So states are finite in number, pieces of any length run through the same table, and different prefixes share
+  states. Transitions are compiled when they are first met: the last token of a prefix is the longest token at its end
+  that may follow the last token of the prefix before it, which the merge ranks along the two touching sides decide.
+  States are remembered up to a bound, then the compilation starts anew, which changes time and no count.
 
 Defined cases: a null text counts as empty: no bytes, no tokens; strings of special tokens inside a text count one each,
-as the library does by default; texts with characters that Python's Unicode version does not assign go to the library;
-an empty table gives an empty table.
+as the library does by default; a text with characters that Python's Unicode version does not assign is split by the
+library, and its pieces are counted like all others; rows that repeat are counted each; a null id stays null; an empty
+table gives an empty table. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Merges, batches
+from .bpe import Merges, as_bytes, byte_symbols, slices
 
 CHUNK = 128
-#: States of the counter and pieces that a worker remembers.
-STATES, PIECES = 400_000, 300_000
+#: States of the counter and pieces that a worker remembers, and characters of the longest of them.
+STATES, PIECES, SHORT = 400_000, 400_000, 64
 
 (END, SPACE, WHITE, NUMBER, OTHER, QUOTE, LETTER, STMD, R, V, E, L) = range(12)
 (START, LETTERS, NUMBERS, OTHERS, QUOTED, Q_R, Q_V, Q_L, CLOSED, ONE_SPACE, ONE_WHITE, MORE_SPACE, MORE_WHITE) = range(13)
@@ -113,19 +119,39 @@ class Counter:
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
         self.by_bytes = {b: i for i, b in merges.token_bytes.items() if i not in merges.special.values()}
-        self.widest = max(map(len, self.by_bytes))
-        self.tails = {b[k:] for b in self.by_bytes for k in range(len(b))}
+        self.beginnings = {b[:k] for b in self.by_bytes for k in range(len(b) + 1)}
         never = 1 << 40
         self.made_at = {made: rank for rank, made in merges.by_pair.values()}
         self.halves = {made: pair for pair, (_, made) in merges.by_pair.items()}
         self.never = never
         self.follows: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        #: What begins a token, as nodes: the bytes, and the tokens at their end with their widths, the longest first.
+        self.node_of = {b"": 0}
+        self.spelled, self.ending = [b""], [()]
+        self.edges: dict[int, int] = {}
         self.reset()
 
     def reset(self) -> None:
+        """The first state: at the first node, before any token, which counts none."""
+        self.states: dict[tuple, int] = {(0, (-1,), (0,)): 0}
+        self.held: list[tuple] = [(0, (-1,), (0,))]
         self.step: dict[int, int] = {}
-        self.emits, self.token = [0], [-1]
+
+    def next_node(self, node: int, byte: int) -> int:
+        """The node of the longest end that begins some token."""
+        found = self.edges.get(node << 8 | byte)
+        if found is None:
+            end = self.spelled[node] + bytes([byte])
+            while end not in self.beginnings:
+                end = end[1:]
+            found = self.node_of.get(end)
+            if found is None:
+                found = self.node_of[end] = len(self.spelled)
+                self.spelled.append(end)
+                self.ending.append(tuple((token, len(end) - k) for k in range(len(end)) if (token := self.by_bytes.get(end[k:])) is not None))
+            self.edges[node << 8 | byte] = found
+        return found
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two tokens, both taken apart along it from the last merge back."""
@@ -152,66 +178,46 @@ class Counter:
         self.follows[key] = answer
         return answer
 
-    def is_whole(self, token: int, spelled: bytes) -> bool:
+    def is_whole(self, token: int) -> bool:
         """Whether the token's own bytes give the token."""
-        if token not in self.whole:
-            self.whole[token] = self.merges.long_word(spelled) == [token]
-        return self.whole[token]
-
-    def last_token(self, prefix: bytes, tokens: list[int]) -> tuple[int, int]:
-        """The last token of the prefix and its width; tokens holds the last tokens of all shorter prefixes."""
-        n = len(prefix)
-        fitting, width = [], 1
-        while width <= n and (tail := prefix[n - width :]) in self.tails:
-            if (token := self.by_bytes.get(tail)) is not None:
-                fitting.append((token, width))
-            width += 1
-        for token, width in reversed(fitting):
-            if self.is_whole(token, prefix) if width == n else self.may_follow(tokens[n - width], token):
-                return token, width
-        raise AssertionError("single bytes are tokens")
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self.merges.long_word(self.merges.token_bytes[token]) == [token]
+        return known
+
+    def compile(self, state: int, byte: int) -> int:
+        """The transition from a state: the next state, and what it emits (plus 512) in the lowest ten bits."""
+        node, tokens, counts = self.held[state]
+        node = self.next_node(node, byte)
+        wide = len(tokens)
+        for token, width in self.ending[node]:
+            before = tokens[wide - width]
+            if self.is_whole(token) if before < 0 else self.may_follow(before, token):
+                break
+        else:
+            raise AssertionError("single bytes are tokens")
+        emits = counts[wide - width] + 1
+        reach = wide - len(self.spelled[node])
+        key = (node, (*tokens[reach:], token), (*(n - emits for n in counts[reach:]), 0))
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.held)
+            self.held.append(key)
+        made = self.step[state << 8 | byte] = to << 10 | emits + 512
+        return made
 
     def count(self, piece: bytes) -> int:
-        if len(piece) > 64:
-            return self.count_long(piece)
-        state, total, step, emits = 0, 0, self.step, self.emits
-        for i, byte in enumerate(piece):
-            to = step.get(state << 8 | byte)
-            if to is None:
-                return self.compile_states(piece, i, state)
-            total += emits[to]
-            state = to
+        if len(self.held) > STATES:
+            self.reset()
+        state, total, step = 0, -512 * len(piece), self.step.get
+        for byte in piece:
+            made = step(state << 8 | byte)
+            if made is None:
+                made = self.compile(state, byte)
+            total += made & 1023
+            state = made >> 10
         return total
 
-    def compile_states(self, piece: bytes, known: int, state: int) -> int:
-        """Compiles the states of the prefixes longer than ``known``, which are new; returns the piece's tokens."""
-        tokens, counts, at = [-1], [0], 0
-        for byte in piece[:known]:
-            at = self.step[at << 8 | byte]
-            tokens.append(self.token[at])
-            counts.append(counts[-1] + self.emits[at])
-        for n in range(known + 1, len(piece) + 1):
-            token, width = self.last_token(piece[:n], tokens)
-            to = len(self.emits)
-            self.emits.append(counts[n - width] + 1 - counts[-1])
-            self.token.append(token)
-            self.step[state << 8 | piece[n - 1]] = to
-            tokens.append(token)
-            counts.append(counts[n - width] + 1)
-            state = to
-        return counts[-1]
-
-    def count_long(self, piece: bytes) -> int:
-        """The same steps without remembered states, for pieces that hardly come again."""
-        tokens, counts = [-1], [0]
-        for n in range(1, len(piece) + 1):
-            # a window one longer than any token keeps "all of the prefix" apart from "its end"
-            first = max(0, n - self.widest - 1)
-            token, width = self.last_token(piece[first:n], tokens[first:])
-            tokens.append(token)
-            counts.append(counts[n - width] + 1)
-        return counts[-1]
-
 
 class Compiled:
     """Both transducers of one vocabulary file."""
@@ -223,16 +229,18 @@ class Compiled:
         self.classes = classes()
         self.counter = Counter(self.merges)
         self.special = regex.compile("|".join(map(regex.escape, self.merges.special)))
+        self.opening = os.path.commonprefix(list(self.merges.special)).encode()
+        self.back = {s: b for b, s in enumerate(byte_symbols())}
         self.known: dict[str, int] = {}
         self.library = None
 
-    def by_library(self, text: str) -> int:
+    def pieces_by_library(self, text: str) -> list[bytes]:
+        """The pieces that the library cuts a text into."""
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.no_truncation()
-        return len(self.library.encode(text, add_special_tokens=False).ids)
+        return [bytes(map(self.back.__getitem__, piece)) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def begins(self, kinds: np.ndarray) -> np.ndarray:
         """Flags of the characters at which pieces begin."""
@@ -255,54 +263,62 @@ class Compiled:
         begin[:-1] |= (flat[1:] & BEFORE).astype(bool)
         return begin
 
-    def texts(self, texts: list[str | None]) -> list[int]:
-        """Token counts of some texts; their characters should fit in memory a few times."""
+    def counts_of(self, pieces: list[str]) -> np.ndarray:
+        """The tokens of each of some distinct pieces."""
         if len(self.known) > PIECES:
-            self.known.clear()
-        if len(self.counter.emits) > STATES:
-            self.counter.reset()
-        out = [0] * len(texts)
-        parts: list[tuple[int, str]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "<|" in text and (found := self.special.findall(text)):
-                out[i] += len(found)
-                parts += [(i, piece) for piece in self.special.split(text) if piece]
-            else:
-                parts.append((i, text))
-        joined = "\0".join([text for _, text in parts])  # one character between texts, classed as an end
-        if not joined:
-            return out
-        kinds = self.classes[np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")]
-        lengths = np.array([len(text) for _, text in parts])
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        kinds[(starts + lengths)[:-1]] = END
+            self.known = {piece: n for piece in pieces if (n := self.known.get(piece)) is not None}
+        out = []
+        for piece in pieces:
+            n = self.known.get(piece)
+            if n is None:
+                n = self.counter.count(piece.encode())
+                if len(piece) <= SHORT:
+                    self.known[piece] = n
+            out.append(n)
+        return np.array(out, dtype=np.int64)
+
+    def column(self, texts: pa.StringArray) -> np.ndarray:
+        """Token counts of a column of texts, which should fit in memory a few times; nulls have none."""
+        raw, starts = as_bytes(texts)
+        if self.opening not in raw.tobytes():
+            return self.plain(raw, starts)
+        parts: list[str] = []
+        owner: list[int] = []
+        out = np.zeros(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts.to_pylist()):
+            some = self.special.split(text or "")
+            out[i] = len(some) - 1
+            parts += some
+            owner += [i] * len(some)
+        np.add.at(out, owner, self.plain(*as_bytes(pa.array(parts, pa.string()))))
+        return out
+
+    def plain(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Token counts of texts without special tokens, given as UTF-8 and where each begins."""
+        n = len(starts) - 1
+        if not len(raw):
+            return np.zeros(n, dtype=np.int64)
+        raw = np.insert(raw, starts[1:-1], 0)  # one character between texts, classed as an end
+        characters = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        wide = 1 + (characters > 0x7F).astype(np.int64) + (characters > 0x7FF) + (characters > 0xFFFF)
+        at = np.cumsum(wide) - wide
+        border = np.searchsorted(at, starts[1:-1] + np.arange(n - 1))
+        kinds = self.classes[characters]
+        kinds[border] = END
         odd = np.flatnonzero(kinds == 255)
-        if len(odd):
-            kinds[odd] = OTHER
-            odd_parts = set((np.searchsorted(starts, odd, side="right") - 1).tolist())
-        else:
-            odd_parts = set()
+        kinds[odd] = OTHER
         begin = self.begins(kinds)
-        begin[(starts + lengths)[:-1]] = True
+        begin[border] = True
         places = np.flatnonzero(begin)
-        first = np.searchsorted(places, starts)
-        last = np.append(first[1:] - 1, len(places))
-        known, count = self.known, self.counter.count
-        for k, (i, text) in enumerate(parts):
-            if k in odd_parts:
-                out[i] += self.by_library(text)
-                continue
-            at = (places[first[k] : last[k]] - starts[k]).tolist()
-            total = 0
-            for a, b in zip(at, [*at[1:], len(text)], strict=True):
-                piece = text[a:b]
-                n = known.get(piece)
-                if n is None:
-                    n = known[piece] = count(piece.encode())
-                total += n
-            out[i] += total
+        pieces = pa.StringArray.from_buffers(len(places), pa.py_buffer(np.append(at[places], len(raw)).astype(np.int32)), pa.py_buffer(raw))
+        coded = pieces.dictionary_encode()
+        counts = self.counts_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)]
+        counts[np.searchsorted(places, border)] = 0
+        out = np.bincount(np.searchsorted(border, places, side="right"), weights=counts, minlength=n).astype(np.int64)
+        ends = np.concatenate([[0], at[border] + 1, [len(raw) + 1]])
+        for i in np.unique(np.searchsorted(border, odd, side="right")).tolist():
+            text = raw[ends[i] : ends[i + 1] - 1].tobytes().decode()
+            out[i] = sum(map(self.counter.count, self.pieces_by_library(text)))
         return out
 
 
@@ -321,10 +337,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = compiled(path)
         for part in parts:
-            texts = part.column(1).to_pylist()
-            counts = np.array([n for some in batches(texts, 2_000_000) for n in counter.texts(some)], dtype=np.int64)
-            sizes = np.array([len((t or "").encode()) for t in texts], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            texts = part.column(1)
+            counts = np.concatenate([np.zeros(0, np.int64), *(counter.column(some) for some in slices(texts, 2_000_000))])
+            sizes = pc.binary_length(texts).fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

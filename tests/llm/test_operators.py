@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,23 +145,26 @@ def library(path):
 def odd_texts():
     rng = random.Random(3)
     letters = "aeiou thsrv'lldmte  \n\t!?#<|>1239éßñ日　\xa0"
-    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["Σ ΑΣ", "Ᲊ x", "'re 'rx 'v\n'l ''s", "a" * 3000, "<|startoftext|><|endoftext|>x"]
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["Σ ΑΣ", "Ᲊ x", "a\ufdd0b \ufdd0", "x\u3000 \u2003\n y\x85 z\x1c \x1d\n", "\u0301 e\u0301\n\u0378\u0379 !\u0378 a\u0378b", "\0\0 a\0", "'re 'rx 'v\n'l ''s", "a" * 3000, "<|startoftext|><|endoftext|>x"]
 
 
 def test_bpe_matches_the_library(docs, empty):
     tokenizer = library(BYTES)
-    got = Counter(tuple(r) for r in bpe.encode_decode(docs, BYTES).collect())
+    got = Counter(tuple(r) for r in queries.bpe_digests(docs, BYTES).collect())
     want = Counter()
     for i, t, _ in ROWS:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         back = tokenizer.decode(ids, skip_special_tokens=False)
         want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())] += 1
     assert got == want
-    assert bpe.encode_decode(empty, BYTES).count() == 0
+    assert queries.bpe_digests(empty, BYTES).count() == 0
+    assert Counter((r.doc_id, r.text) for r in bpe.decode(bpe.encode(docs, BYTES), BYTES).collect()) == Counter((i, t or "") for i, t, _ in ROWS)
     for path in (BYTES, WORDS):
-        tokenizer, coder = library(path), bpe.Encoder(path, bpe.as_words32)
-        for text, words in zip(odd_texts(), coder.texts(odd_texts()), strict=True):
-            assert np.frombuffer(b"".join(words), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        tokenizer, coder = library(path), bpe.Encoder(path)
+        for some in (odd_texts(), odd_texts()[::-1], ["", None], []):
+            ids, counts = coder.column(pa.array(some, pa.string()))
+            cuts = bpe.ends_of(counts).tolist()
+            assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
 
 
 def test_token_counts_match_the_library(docs, empty):
@@ -170,7 +174,25 @@ def test_token_counts_match_the_library(docs, empty):
     assert got == Counter((i, len(raw(t)), n, n > 100) for i, t, n in counts)
     assert token_count.token_counts(empty, BYTES).count() == 0
     compiled = token_count.Compiled(BYTES)
-    assert compiled.texts(odd_texts()) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in odd_texts()]
+    for some in (odd_texts(), odd_texts()[::-1], ["", None], []):
+        assert compiled.column(pa.array(some, pa.string())).tolist() == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in some]
+
+
+def test_forgetting_changes_no_result(monkeypatch):
+    for name in ("REMEMBERED", "SHORT", "ROWS"):
+        monkeypatch.setattr(bpe, name, 3)
+    for name in ("STATES", "PIECES", "SHORT"):
+        monkeypatch.setattr(token_count, name, 3)
+    for path in (BYTES, WORDS):
+        tokenizer, coder = library(path), bpe.Encoder(path)
+        for k in range(0, 100, 10):
+            some = odd_texts()[k : k + 10]
+            ids, _ = coder.column(pa.array(some))
+            assert ids.tolist() == [x for t in some for x in tokenizer.encode(t, add_special_tokens=False).ids]
+    tokenizer, compiled = library(BYTES), token_count.Compiled(BYTES)
+    for k in range(0, 100, 10):
+        some = odd_texts()[k : k + 10]
+        assert compiled.column(pa.array(some)).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in some]
 
 
 def test_sharding(docs, empty):
