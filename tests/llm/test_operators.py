@@ -15,7 +15,7 @@ from regionspark.llm import bpe, exact_dedup, licenses, nbsvm, packing, quality_
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = queries.vocabulary(queries.BYTE_VOCABULARY), queries.vocabulary(queries.WORD_VOCABULARY)
-CLASHING = ("content", "digest", "salt", "words", "lines", "t", "n", "fp", "m", "k", "kind", "at", "doc", "sub", "rest", "shard", "bucket", "length", "kept", "_salt")
+CLASHING = ("content", "digest", "salt", "words", "lines", "t", "n", "fp", "m", "k", "kind", "at", "doc", "sub", "rest", "shard", "bucket", "length", "kept", "_salt", "_", "there", "c0", "_kept_id", "_text", "_id", "_label", "ids", "spans")
 
 
 def sample():
@@ -122,17 +122,71 @@ def test_license_scan(docs, empty):
     assert got == Counter((i, *plain(t)) for i, t, _ in ROWS)
     assert licenses.scan_licenses(empty).count() == 0
     automaton = licenses.Automaton([(k, t) for k, some in licenses.TEMPLATES.items() for t in some], licenses.PHRASES)
-    notice = licenses.words_of(licenses.TEMPLATES["mit"][0].encode())
+    notice = licenses.words_of(licenses.TEMPLATES["mit"][1].encode())
     assert automaton.scan(notice)[5] == 1.0
     broken = notice[:12] + [b"zzz"] + notice[13:]
     assert "mit" in automaton.scan(broken)[4]
     assert automaton.scan(notice[:5])[5] < licenses.MIN_COVERED
+    (found,) = [x for x in automaton.scan([b"zzz"] * 7 + notice)[6] if x.template == 1 + len(licenses.TEMPLATES["apache-2.0"])]
+    assert (found.first, found.last, found.covered) == (7, 6 + automaton.lengths[found.template], 1.0)
     rng = random.Random(1)
     for _ in range(300):  # matching statistics against all substrings
         words = [rng.choice(list(automaton.number)) for _ in range(rng.randint(0, 25))]
         assert automaton.scan(words)[0] == sum(words[i : i + len(p)] == p for q in licenses.PHRASES for p in [q.encode().split()] for i in range(len(words)))
 
 
+def best_share(words, template):
+    """The largest share of a template that a chain of its maximal matches covers, by trying all of them."""
+    n, m, matches = len(words), len(template), []
+    size = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n):
+        for j in range(m):
+            if words[i] == template[j]:
+                size[i + 1][j + 1] = size[i][j] + 1
+    for i in range(n):  # a text position's longest match, at every place where it ends
+        longest = max(size[i + 1])
+        on = max(size[i + 2]) if i + 1 < n else 0
+        if longest >= licenses.MIN_MATCH and on != longest + 1:
+            matches += [(i, j, longest) for j in range(m) if size[i + 1][j + 1] == longest]
+    best = []
+    for i, j, length in matches:
+        own = length
+        for (a, b, _), covered in zip(matches, best, strict=False):
+            fresh = min(length, j - b, i - a)
+            if fresh > 0 and i - length - a <= m:
+                own = max(own, covered + fresh)
+        best.append(own)
+    return min(1.0, max(best, default=0) / m)
+
+
+def test_license_chains_are_the_best_of_all():
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(9)]
+    for _ in range(150):
+        templates = [(f"t{k}", " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 24)))) for k in range(4)]
+        templates.append(("t9", f"{templates[0][1]} {templates[1][1]}"))
+        automaton = licenses.Automaton(templates, {"w0 w1": "base"})
+        text = []
+        for _ in range(rng.randint(0, 6)):
+            own = rng.choice(templates)[1].split()
+            a = rng.randrange(len(own))
+            text += own[a : a + rng.randint(2, 15)] + [rng.choice([*vocabulary, "zzz"]) for _ in range(rng.randint(0, 3))]
+        words = [w.encode() for w in text]
+        *_, base, labels, score, spans = automaton.scan(words)
+        shares = [best_share(text, t.split()) for _, t in templates]
+        assert score == pytest.approx(max([*shares, 1.0 if base else 0.0]))
+        assert labels == sorted({*base, *(label for (label, _), s in zip(templates, shares, strict=True) if s >= licenses.MIN_COVERED)})
+        assert {x.template: pytest.approx(x.covered) for x in spans} == {k: s for k, s in enumerate(shares) if s >= licenses.MIN_COVERED}
+        assert all(0 <= x.first <= x.last < len(words) for x in spans)
+
+
+def test_a_stray_opening_does_not_end_a_chain():
+    template = [f"w{i}" for i in range(20)]
+    automaton = licenses.Automaton([("t", " ".join(template))], {})
+    words = [w.encode() for w in [*template[:9], "zzz", *template[:4], "zzz", *template[14:18]]]
+    assert automaton.scan(words)[4:6] == (["t"], 13 / 20)
+
+
 def library(path):
     from tokenizers import Tokenizer
 
