@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, tidied
+
 LONG = 40
 #: Pieces remembered by a worker, characters of the longest of them, and words handled in one matrix.
 REMEMBERED, SHORT, ROWS = 250_000, 64, 4096
@@ -236,6 +238,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat, self.sizes, self.again = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.library = None
+        self.decoder = Decoder(self.merges)
 
     def is_odd(self, text: str) -> bool:
         """Whether it has characters that Python's Unicode version does not assign; other versions may class or case
@@ -342,14 +345,9 @@ class Encoder:
         return [raw[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder; it is built once for each worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 #: Bytes of ASCII white space; the last byte and the one before it of characters that may be other white space.
@@ -395,7 +393,7 @@ def gathered(flat: np.ndarray, sizes: np.ndarray, indices: np.ndarray, counts: n
 
 
 class Decoder:
-    """Bytes of ids, by one gather over all ids of a batch."""
+    """Texts of ids, by one gather over all ids of a batch."""
 
     def __init__(self, merges: Merges) -> None:
         spelled = [merges.token_bytes.get(i, b"") for i in range(merges.size)]
@@ -436,12 +434,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for some in slices(part.column(1)):
                 ids, counts = coder.column(some)
                 lists = pa.ListArray.from_arrays(pa.array(ends_of(counts).astype(np.int32)), pa.array(ids))
-                back = [pa.array(decoder(path).texts(ids, counts), pa.string())] if decoded else []
+                back = [pa.array(coder.decoder.texts(ids, counts), pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(some)), lists, *back], names=names)
                 at += len(some)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return rows.mapInArrow(tidied(run), "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -449,20 +447,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     nothing; null ids are none."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = decoder(path)
+        coder = encoder(path).decoder
         for part in parts:
             ids = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
             counts = np.diff(np.asarray(ids.offsets))
             texts = coder.texts(np.asarray(ids.flatten()), counts)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
-
-
-_DECODERS: dict[str, Decoder] = {}
-
-
-def decoder(path: str) -> Decoder:
-    if path not in _DECODERS:
-        _DECODERS[path] = Decoder(encoder(path).merges)
-    return _DECODERS[path]
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, ids array<int>, text string")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 MAX_TRAIN = 6000
 DIMENSIONS = 1 << 18
 SHARES = (0.01, 0.03, 0.1, 0.3, 0.6)
@@ -174,7 +176,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, id_col: st
             present = [indicators(t or "") for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(present, pa.list_(pa.int32()))], names=["id", "label", "present"])
 
-    rows = found.select("_id", "_text", "_label").mapInArrow(run, "id long, label int, present array<int>").collect()
+    rows = found.select("_id", "_text", "_label").mapInArrow(tidied(run), "id long, label int, present array<int>").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["present"]))
     return [np.array(r["present"], dtype=np.int32) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
 
@@ -200,4 +202,4 @@ def score_quality(
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.bool_()), pa.array(scores), pa.array(predicted)], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, ends_of, slices
-from .common import cut, offsets_by_bucket, partitions
+from .common import cut, offsets_by_bucket, partitions, tidied
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(tidied(run), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -132,4 +132,4 @@ def pack(
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=names)
 
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, PACKED)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidied(run), PACKED)

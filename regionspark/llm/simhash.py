@@ -20,7 +20,7 @@ null ids has a null component_id); rows that repeat share class and component; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_lookup
+from .common import cut, partitions, salted_lookup, tidied
 
 RADIUS = 3
 HOT = 4096
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def block_masks(bits: list[int]) -> list[int]:
@@ -167,28 +167,32 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS, signatures: np.ndarray |
     """Links (later, earlier position) of a spanning forest of one bucket's fingerprints, of those whose signatures
     agree.
 
-    A fingerprint is compared with all behind it at once; queries whose tree already holds the whole bucket end it.
+    Several fingerprints at a time are compared with all behind the first of them; what is in one tree already is not
+    looked at, and a bucket in one tree ends it.
     """
     n, links = len(fps), []
-    forest, trees = Forest(n), n
+    tree, trees = np.arange(n), n
     planes = bit_planes(fps)
-    ones = ~np.uint64(0)
-    for i in range(n - 1):
+    ones, step = ~np.uint64(0), max(1, BLOCK_WORDS // planes.shape[1])
+    for first in range(0, n - 1, step):
         if trees == 1:
             break
-        word = (i + 1) // 64
-        for at in range(word, planes.shape[1], BLOCK_WORDS):
-            some = planes[:, at : at + BLOCK_WORDS]
-            query = np.where(np.unpackbits(fps[i].view(np.uint8), bitorder="little") == 1, ones, np.uint64(0))
-            near = flags(within(some ^ query[:, None], radius), n - 64 * at)
-            found = np.flatnonzero(near) + 64 * at
-            found = found[found > i]
-            if signatures is not None:
-                found = found[agree(signatures[found], signatures[i], most)]
-            for j in found:
-                if forest.link(i, int(j)):
-                    links.append((int(j), i))
+        some = np.ascontiguousarray(fps[first : first + step])
+        query = np.where(np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").T == 1, ones, np.uint64(0))
+        for at in range((first + 1) // 64, planes.shape[1], BLOCK_WORDS):
+            words = within(planes[:, None, at : at + BLOCK_WORDS] ^ query[:, :, None], radius)
+            near = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, : n - 64 * at]
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                i = first + k
+                found = np.flatnonzero(near[k]) + 64 * at
+                found = found[(found > i) & (tree[found] != tree[i])]
+                if signatures is not None:
+                    found = found[agree(signatures[found], signatures[i], most)]
+                while len(found):
+                    links.append((int(found[0]), i))
+                    tree[tree == tree[found[0]]] = tree[i]
                     trees -= 1
+                    found = found[tree[found] != tree[i]]
     return links
 
 
@@ -274,7 +278,7 @@ def links_in_buckets(rows: DataFrame, radius: int = RADIUS, fps: tuple[str, ...]
             yield emit(table)
 
     dealt = rows.select(*names).repartition("m", "k").sortWithinPartitions("m", "k", *fps, "id")
-    return dealt.mapInArrow(run, "a long, b long, g long" if signature else "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long, g long" if signature else "a long, b long")
 
 
 def crowded_buckets(rows: DataFrame, hot: int) -> DataFrame | None:
@@ -300,10 +304,12 @@ def smaller_first(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (the smallest node reachable) of every node that has an edge and is not a root itself."""
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node reachable) of every node that has an edge and is not a root itself.
+
+    The rounds end by themselves: unless each node has one link already, a link moves to smaller nodes in each."""
     edges = cut(smaller_first(edges))
-    for _ in range(rounds):
+    while True:
         up = edges.groupBy("a").agg(F.min("b").alias("p"), F.count("*").alias("n"))
         state = up.agg(F.sum("n").alias("edges"), F.count("*").alias("nodes")).first()
         if (state["edges"] or 0) == state["nodes"]:
@@ -311,8 +317,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         handed = salted_lookup(edges, up.select("a", "p"), "a", F.col("b"))
         down = handed.select(F.when(F.col("b") == F.col("p"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("p").alias("b"))
         edges = cut(smaller_first(down))
-    else:
-        raise RuntimeError("the components did not settle")
     tree = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         above = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
@@ -360,6 +364,8 @@ WIDE_COLUMNS = tuple(f"fp{i}" for i in range(WIDE))
 SIGNATURE_COLUMNS = tuple(f"s{i}" for i in range(SIGNED))
 #: Shingles whose hashes are permuted in one step.
 STEP = 1024
+#: Rows of a block from which on it is compared by tiles; rows of a table of blocks up to which it may be broadcast.
+CROWDED, HUBS = 1024, 50_000
 
 
 def signature_of(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -405,7 +411,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words_in_shingle: int,
 
     names = (*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size", "whole")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in names)}, keys array<long>{', shingles binary' if with_set else ''}")
+    return rows.mapInArrow(tidied(run), f"id long, {', '.join(f'{c} long' for c in names)}, keys array<long>{', shingles binary' if with_set else ''}")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -415,35 +421,89 @@ def blocked(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, F.explode(made).alias("x")).select(*kept, F.col("x.m").alias("m"), F.col("x.k").alias("k"))
 
 
+def starred(docs: DataFrame, crowd: DataFrame, id_col: str, text_col: str, words_in_shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of crowded blocks with ``star``, whether they are their block's hub (the row of the smallest hash) or
+    similar to it, and the links (a, b) of these to hubs.
+
+    Rows of one star are in one component already, so that a block that is mostly one large group of near copies need not
+    be compared with itself. Similarities are exact. A hub's set goes to as many tasks as its rows are spread over."""
+    most, names = most_for(similarity, 64 * SIGNED), SIGNATURE_COLUMNS
+    told = F.struct(F.col("id").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in names])
+    hubs = cut(crowd.groupBy("m", "k").agg(F.min_by(told, F.struct(F.xxhash64("id"), "id")).alias("h")).select("m", "k", "h.*"))
+    differing = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub_{c}"))) for c in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"hub_{names[0]}"))))
+    met = crowd.join(F.broadcast(hubs) if hubs.count() <= HUBS else hubs, ["m", "k"]).filter((differing <= most) & (F.col("id") != F.col("hub")))
+    pairs = cut(met.select("id", "hub").distinct())
+    salts = max(16, partitions(docs.sparkSession))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    wanted = pairs.select(F.explode(F.array("id", "hub")).alias("_wanted")).distinct()
+    texts = docs.join(wanted, docs[id_col].cast("long") == wanted["_wanted"], "left_semi")
+    sets = cut(sketched(texts, id_col, text_col, words_in_shingle, with_set=True).select("id", "shingles").groupBy("id").agg(F.min("shingles").alias("shingles")))
+    own = pairs.join(sets, "id").select("hub", "salt", F.lit(1).alias("member"), "id", "shingles")
+    shared = pairs.select("hub", "salt").distinct().join(sets.withColumnRenamed("id", "hub"), "hub")
+    dealt = own.unionByName(shared.select("hub", "salt", F.lit(0).alias("member"), F.col("hub").alias("id"), "shingles"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, marked = None, np.zeros(0, np.uint64)
+        for part in parts:
+            found: list[tuple[int, int]] = []
+            for of, member, i, raw in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                values = np.frombuffer(raw, dtype=np.uint64)
+                if not member:
+                    hub, marked = of, values
+                    continue
+                shared = len(np.intersect1d(values, marked, assume_unique=True))
+                if shared >= similarity * (len(values) + len(marked) - shared) - 1e-9:
+                    found.append((i, hub))
+            yield pa.RecordBatch.from_arrays([pa.array([f[e] for f in found], pa.int64()) for e in (0, 1)], names=["a", "b"])
+
+    ordered = dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").select("hub", "member", "id", "shingles")
+    links = cut(ordered.mapInArrow(tidied(run), "a long, b long").distinct())
+    of_block = crowd.join(F.broadcast(hubs.select("m", "k", "hub")) if hubs.count() <= HUBS else hubs.select("m", "k", "hub"), ["m", "k"])
+    linked = links.select(F.col("a").alias("id"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
+    flagged = of_block.join(linked, ["id", "hub"], "left")
+    return flagged.withColumn("star", F.coalesce("linked", F.lit(False)) | (F.col("id") == F.col("hub"))).drop("linked", "hub"), links
+
+
 def tiled(rows: DataFrame, similarity: float, hot: int) -> DataFrame:
     """Rows of crowded blocks under tiles of about 2 * ``hot`` rows, so that each two rows of a block whose sizes allow
-    the similarity meet in one.
+    the similarity meet in one, unless both are in the block's star.
 
     Sets of this similarity differ in size by at most its inverse, so they lie in one band of sizes or in two adjacent
-    ones. A band and the one below are cut into parts by id, and each two parts are a tile. Tiles whose hashes are equal
-    meet too, which only adds comparisons."""
+    ones. A band and the one below are cut into parts by id, the rows of the star apart from the others; each two parts
+    are a tile, but for two parts of the star. Tiles whose hashes are equal meet too, which only adds comparisons."""
     band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) * (0.999 / -np.log(similarity)))
     banded = rows.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    held = banded.groupBy("m", "k", "band").agg(F.count("*").alias("n"), F.max(F.col("own") == F.col("band")).alias("any"))
-    parts = cut(held.filter("any").select("m", "k", "band", F.ceil(F.col("n") / hot).cast("long").alias("parts")))
-    placed = banded.join(F.broadcast(parts) if parts.count() <= 100_000 else parts, ["m", "k", "band"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    outside = F.count(F.when(~F.col("star"), 1))
+    held = banded.groupBy("m", "k", "band").agg(F.count("*").alias("n"), outside.alias("others"), F.max(F.col("own") == F.col("band")).alias("any"))
+    many = [F.ceil(F.col("others") / hot).cast("long").alias("parts"), F.ceil((F.col("n") - F.col("others")) / hot).cast("long").alias("star_parts")]
+    parts = cut(held.filter("any and others > 0").select("m", "k", "band", *many))
+    placed = banded.join(F.broadcast(parts) if parts.count() <= HUBS else parts, ["m", "k", "band"])
+    # parts of the others are numbered from 0, those of the star behind them
+    own = F.when(F.col("star"), F.col("parts") + F.pmod(F.xxhash64("id"), F.col("star_parts"))).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") + F.col("star_parts") - 1)
+    placed = placed.withColumn("part", own)
+    placed = placed.withColumn("other", F.explode(F.when(F.col("star"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(every)))
     tile = F.xxhash64("k", "band", F.least("part", "other"), F.greatest("part", "other"))
-    return placed.withColumn("k", tile).drop("own", "band", "parts", "part", "other")
+    return placed.withColumn("k", tile).drop("own", "band", "parts", "star_parts", "part", "other", "star")
 
 
-def similar_links(classes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+def similar_links(classes: DataFrame, similarity: float, hot: int = CROWDED, stars: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Links of texts that share a smallest shingle and whose fingerprints and signatures differ in no more bits than
-    those of texts of this similarity. A block over ``hot`` is compared by tiles, and no pair in it is left out."""
+    those of texts of this similarity, and the links that ``stars`` has proved. A block over ``hot`` is compared by tiles,
+    and no pair in it is left out but those that a star links already."""
     radius, most = radius_for(similarity, 64 * WIDE), most_for(similarity, 64 * SIGNED)
     level = blocked(classes)
     crowded = crowded_buckets(level, hot)
     if crowded is None:
-        return links_in_buckets(level, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)
+        return links_in_buckets(level, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most), None
     mild = links_in_buckets(level.join(crowded, ["m", "k"], "left_anti"), radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)
-    tiles = tiled(level.join(crowded, ["m", "k"], "left_semi"), similarity, hot)
-    return mild.unionByName(links_in_buckets(tiles, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most))
+    crowd, proved = level.join(crowded, ["m", "k"], "left_semi"), None
+    if stars:
+        crowd, proved = stars(cut(crowd))
+    else:
+        crowd = crowd.withColumn("star", F.lit(False))
+    tiles = tiled(crowd, similarity, hot)
+    return mild.unionByName(links_in_buckets(tiles, radius, WIDE_COLUMNS, SIGNATURE_COLUMNS, most)), proved
 
 
 def exact_forest(signatures: np.ndarray, sets: list[np.ndarray], similarity: float, most: int) -> list[tuple[int, int]]:
@@ -460,14 +520,20 @@ def exact_forest(signatures: np.ndarray, sets: list[np.ndarray], similarity: flo
         found = found[agree(signatures[found], signatures[i], most)]
         own = codes[ends[i] - sizes[i] : ends[i]]
         marked[own] = True
-        for j in found.tolist():
-            if tree[j] == tree[i]:
+        for k in range(0, len(found), 256):
+            some = found[k : k + 256]
+            some = some[tree[some] != tree[i]]
+            if not len(some):
                 continue
-            shared = np.count_nonzero(marked[codes[ends[j] - sizes[j] : ends[j]]])
-            if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
-                tree[tree == tree[j]] = tree[i]
-                links.append((j, i))
-                trees -= 1
+            at = np.cumsum(sizes[some])
+            flat = np.repeat(ends[some] - at, sizes[some]) + np.arange(at[-1])
+            hits = np.concatenate([[0], np.cumsum(marked[codes[flat]])])
+            shared = hits[at] - hits[at - sizes[some]]
+            for j in some[shared >= similarity * (sizes[i] + sizes[some] - shared) - 1e-9].tolist():
+                if tree[j] != tree[i]:
+                    tree[tree == tree[j]] = tree[i]
+                    links.append((j, i))
+                    trees -= 1
         marked[own] = False
     return links
 
@@ -479,7 +545,7 @@ def exact_links(docs: DataFrame, near: DataFrame, id_col: str, text_col: str, wo
     tile, and equal trees of several blocks are looked at once."""
     members = cut(near.select("g", F.explode(F.array("a", "b")).alias("id")).distinct())
     wanted = members.select(F.col("id").alias("_wanted")).distinct()
-    texts = docs.join(wanted, docs[id_col].cast("long") == F.col("_wanted"), "left_semi")
+    texts = docs.join(wanted, docs[id_col].cast("long") == wanted["_wanted"], "left_semi")
     names, most = SIGNATURE_COLUMNS, most_for(similarity, 64 * SIGNED)
     sets = sketched(texts, id_col, text_col, words_in_shingle, with_set=True).select("id", *names, "shingles").distinct()
 
@@ -503,22 +569,27 @@ def exact_links(docs: DataFrame, near: DataFrame, id_col: str, text_col: str, wo
             yield emit()
 
     dealt = members.join(sets, "id").select("g", "id", *names, "shingles").repartition("g").sortWithinPartitions("g", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, hot: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, similarity: float = 0.8, hot: int = CROWDED
 ) -> DataFrame:
     """The rows of ``docs`` but those linked to a smaller id, with all their columns.
 
     Texts link if their sets of shingles have this Jaccard similarity. Candidates share one of six smallest shingles, as
     texts of similarity 0.8 do but for one pair in 10,000; fingerprints of 256 bits (``radius_for``) and signatures of
     1,024 bits (``most_for``) sort out what is well below the similarity, and the sets of the others decide. Of a
-    component the smallest id stays. Rows with a null id stay; rows that share an id share their fate."""
+    component the smallest id stays.
+
+    Defined cases: a null text counts as empty; texts without words have an empty set and are alike; fewer words than a
+    shingle give one shingle of all words; rows with a null id stay; rows that share an id share their fate; rows that
+    repeat are copies; an empty table gives an empty table; other columns pass through, whatever their names."""
     found = cut(sketched(docs, id_col, text_col, words_in_shingle))
     classes = cut(found.groupBy(*WIDE_COLUMNS, *SIGNATURE_COLUMNS, "size", "whole", "keys").agg(F.min("id").alias("id")))
-    near = similar_links(classes, similarity, hot)
-    tree = components(exact_links(docs, near, id_col, text_col, words_in_shingle, similarity))
-    first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id"))
-    kept = docs.join(first.distinct(), docs[id_col] == F.col("_kept_id"), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    near, proved = similar_links(classes, similarity, hot, lambda crowd: starred(docs, crowd, id_col, text_col, words_in_shingle, similarity))
+    links = exact_links(docs, near, id_col, text_col, words_in_shingle, similarity)
+    tree = components(links if proved is None else links.unionByName(proved))
+    first = classes.join(tree, classes["id"] == tree["node"], "left_anti").select(F.col("id").alias("_kept_id")).distinct()
+    kept = docs.join(first, docs[id_col] == first["_kept_id"], "left_semi")
+    return kept.unionByName(docs.filter(docs[id_col].isNull()))

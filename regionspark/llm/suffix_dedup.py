@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, held, tidied
 
 DEPTH, GRAM = 100, 32
 WINDOW = DEPTH - GRAM + 1
 CROWD = 2_000
 #: Bytes handled at once, and runs of windows that a task folds at once.
-BLOCK, FOLD = 1 << 20, 1_000_000
+BLOCK, FOLD = 1 << 19, 500_000
 #: Documents that a filter may be broadcast for.
 BROADCAST_ROWS = 400_000
 LAST = (1 << 63) - 1
@@ -60,13 +60,11 @@ def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_byte, up, down
 
 
-_cache: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
 def tables(seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if seed not in _cache:
-        _cache[seed] = _tables(seed)
-    return _cache[seed]
+    made = held("hash tables", dict)
+    if seed not in made:
+        made[seed] = _tables(seed)
+    return made[seed]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -399,7 +397,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     sub: Column = F.lit(0).cast("long") if unique else F.xxhash64(text)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    rest = F.struct(F.lit(True).alias("there"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
     return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), sub.alias("sub"), text.alias("text"), rest.alias("rest"))
 
 
@@ -415,10 +413,10 @@ def marked_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     order = ("k", "kind", "c", "doc", "sub", "at")
 
     def dealt(df: DataFrame, task: Callable, kind: str) -> DataFrame:
-        return df.repartition("k").sortWithinPartitions(*order).mapInArrow(task, kind)
+        return df.repartition("k").sortWithinPartitions(*order).mapInArrow(tidied(task), kind)
 
     long_enough = rows.select("doc", "sub", "text").filter(F.octet_length("text") >= DEPTH)
-    settled = cut(dealt(long_enough.mapInArrow(first_pass, ROW_TYPE), settle, ROW_TYPE))
+    settled = cut(dealt(long_enough.mapInArrow(tidied(first_pass), ROW_TYPE), settle, ROW_TYPE))
     undecided = settled.filter(F.col("kind") == MANY).select("k", "doc", "sub", "at")
     hot = cut(undecided.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("k", F.lit(True).alias("crowded")))
     number = hot.count()
@@ -428,7 +426,7 @@ def marked_spans(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
         undecided = undecided.withColumn("crowded", F.lit(False))
     by_doc = undecided.groupBy("doc", "sub").agg(F.collect_list(F.struct("k", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("runs"))
     fetched = only(rows, undecided).join(by_doc, ["doc", "sub"]).select("doc", "sub", "text", F.col("runs.k").alias("ks"), F.col("runs.at").alias("ats"), F.col("runs.crowded").alias("crowds"))
-    decided = dealt(fetched.mapInArrow(contexts, CONTEXT), further_passes, ROW_TYPE)
+    decided = dealt(fetched.mapInArrow(tidied(contexts), CONTEXT), further_passes, ROW_TYPE)
     found = settled.filter(F.col("kind") == MARK).unionByName(decided.filter(F.col("kind") == MARK))
     return found.select("doc", "sub", "at", "upto")
 
@@ -473,7 +471,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows, spans = by_document(docs, id_col, text_col, crowd)
     touched = only(rows, spans).join(spans, ["doc", "sub"]).select("id", "text", "lows", "highs")
-    changed = touched.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    changed = touched.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     same = rows.join(small(spans), ["doc", "sub"], "left_anti").select(
         F.col("id").cast("long").alias("doc_id"),
         F.octet_length("text").cast("long").alias("n_bytes"),
@@ -501,13 +499,13 @@ def texts_without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.string())], names=["rest", "left"])
 
     kind = touched.select("rest", F.col("text").alias("left")).schema
-    changed = touched.mapInArrow(run, kind)
+    changed = touched.mapInArrow(tidied(run), kind)
     changed = changed.select(
         *[
-            F.col("left").alias(c) if c == text_col else F.length("left").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(f"rest.`{c}`").alias(c)
-            for c in docs.columns
+            F.col("left").alias(c) if c == text_col else F.length("left").cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(f"rest.c{i}").alias(c)
+            for i, c in enumerate(docs.columns)
         ]
     )
     same = rows.join(small(spans), ["doc", "sub"], "left_anti")
-    same = same.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    same = same.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     return changed.unionByName(same)

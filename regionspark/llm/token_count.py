@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merges, as_bytes, byte_symbols, slices
+from .common import held, tidied
 
 CHUNK = 128
 #: States of the counter and pieces that a worker remembers, and characters of the longest of them.
@@ -322,13 +323,8 @@ class Compiled:
         return out
 
 
-_COMPILED: dict[str, Compiled] = {}
-
-
 def compiled(path: str) -> Compiled:
-    if path not in _COMPILED:
-        _COMPILED[path] = Compiled(path)
-    return _COMPILED[path]
+    return held(f"compiled {path}", lambda: Compiled(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,4 +339,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
