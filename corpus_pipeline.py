@@ -2,17 +2,21 @@
 
 SQL cannot express the learned rules, the fingerprints or the packing, so ORACLE_SQL is None and the stages are tested
 against brute force.
+
+Defined cases, for every stage but the last: columns of other names pass through and may have any name but those of the
+documents; an empty table gives an empty one; very long texts are read whole; rows that share an id share their fate. A
+null text counts as empty: the quality rules reject it. A null id stays null and never wins against another id among
+equal texts; among near copies its row stays. The last stage returns the pieces of all that is left, repeated rows each.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from regionspark.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
-from regionspark.llm.common import table
+from regionspark.llm.common import remove, shared_folder, table
 from regionspark.llm.queries import WORD_VOCABULARY, vocabulary
 
 
@@ -53,11 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; what a stage returns is written as Parquet to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    """All stages on the documents; what a stage returns is written as Parquet to the shared folder and read again. A
+    stage's files go when the next one's are written; those of the last stay, since the result reads them."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
