@@ -24,6 +24,6 @@ def natural_key(name: Column) -> Column:
 
 
 def safe_name(index: Column, name: Column, width: int = 6) -> Column:
-    """Zero-padded index, longer ones whole, and the name with path separators replaced."""
+    """Zero-padded index, longer ones whole, two underscores, the name with path separators replaced, and .png."""
     number = F.when(index.isNotNull(), F.format_string(f"%0{width}d", index.cast("long")))
-    return F.concat(number, F.lit("_"), F.translate(name, "/\\:", "___"))
+    return F.concat(number, F.lit("__"), F.translate(name, "/\\:", "___"), F.lit(".png"))

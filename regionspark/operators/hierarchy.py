@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(node_id, ancestor_id, distance) of every node and itself and all above it, however deep; an error on cycles."""
-    step = nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id")).localCheckpoint()
+    step = cut(nodes.filter("parent_id is not null").select("node_id", F.col("parent_id").alias("ancestor_id")))
     known = nodes.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("long").alias("distance"))
     reach, most = 1, nodes.count()
     while not step.isEmpty():
@@ -20,10 +22,10 @@ def ancestors(nodes: DataFrame) -> DataFrame:
             raise ValueError("the parents form a cycle")
         up = step.select(F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
         further = known.join(up, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id"), (F.col("distance") + reach).alias("distance"))
-        longer = step.join(up, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id")).localCheckpoint()
+        longer = cut(step.join(up, "ancestor_id").select("node_id", F.col("next_id").alias("ancestor_id")))
         known = known.unionByName(further)
         if not longer.isEmpty():
-            known = known.localCheckpoint()
+            known = cut(known)
         step = longer
         reach *= 2
     return known

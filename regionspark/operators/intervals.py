@@ -18,8 +18,9 @@ from ..functions import ratio
 BUCKET = 64
 
 
-def run_counts(intervals: DataFrame, keys: list[str], size: Column) -> DataFrame:
-    """Alternating background and foreground lengths of each member, starting with background."""
+def run_counts(intervals: DataFrame, keys: list[str], size: Column, members: DataFrame | None = None) -> DataFrame:
+    """Alternating background and foreground lengths of each member, starting with background. With the members, those
+    without intervals are all background."""
     own = Window.partitionBy(*keys).orderBy("s")
     gaps = intervals.withColumn("gap", F.col("s") - F.coalesce(F.lag("e").over(own), F.lit(0)))
     grouped = gaps.groupBy(*keys).agg(
@@ -27,17 +28,18 @@ def run_counts(intervals: DataFrame, keys: list[str], size: Column) -> DataFrame
     )
     counts = F.flatten(F.transform("runs", lambda r: F.array(r["gap"], r["n"])))
     rest = size - F.col("end")
-    return grouped.select(*keys, F.when(rest > 0, F.concat(counts, F.array(rest))).otherwise(counts).alias("counts"))
+    found = grouped.select(*keys, F.when(rest > 0, F.concat(counts, F.array(rest))).otherwise(counts).alias("counts"))
+    if members is None:
+        return found
+    return members.select(*keys).join(found, keys, "left").withColumn("counts", F.coalesce("counts", F.array(size.cast("long"))))
 
 
 def decode_runs(members: DataFrame, keys: list[str], counts: str = "counts") -> DataFrame:
     """Intervals of the foreground runs of alternating lengths."""
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size(counts) - 1),
-        lambda i: F.struct(i.alias("i"), F.aggregate(F.slice(counts, 1, i), F.lit(0).cast("long"), lambda a, b: a + b).alias("s"), F.get(counts, i).alias("n")),
-    )
-    runs = members.select(*keys, F.explode(starts).alias("r")).filter("r.i % 2 = 1 and r.n > 0")
-    return runs.select(*keys, F.col("r.s").alias("s"), (F.col("r.s") + F.col("r.n")).alias("e"))
+    runs = members.select(*keys, F.posexplode(counts).alias("i", "n"))
+    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = runs.withColumn("e", F.sum("n").over(upto)).filter("i % 2 = 1 and n > 0")
+    return ends.select(*keys, (F.col("e") - F.col("n")).alias("s"), "e")
 
 
 def overlaps(a: DataFrame, b: DataFrame, group: str, a_id: str, b_id: str, extra: Column | None = None) -> DataFrame:

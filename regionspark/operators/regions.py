@@ -27,10 +27,12 @@ def region_at(runs: DataFrame, points: DataFrame) -> DataFrame:
     return found.select("image", "k", "label")
 
 
-def features(pixels: DataFrame) -> DataFrame:
-    """Area, half-open box, centroid, and mean and population deviation of the gradient of every region."""
-    variance = F.greatest(F.avg(F.col("grad") * F.col("grad")) - F.avg("grad") * F.avg("grad"), F.lit(0.0))
-    return pixels.groupBy("image", "label").agg(
+def features(pixels: DataFrame, unit: int = 100) -> DataFrame:
+    """Area, half-open box, centroid, and mean and population deviation of the gradient of every region.
+
+    Gradients are counted in whole 1 / ``unit``, so sums are exact and do not depend on the order of the rows."""
+    whole = F.round(F.col("grad") * unit).cast("decimal(18,0)")
+    sums = pixels.withColumn("_g", whole).groupBy("image", "label").agg(
         F.count("*").alias("area"),
         F.min("x").alias("x0"),
         F.min("y").alias("y0"),
@@ -38,9 +40,12 @@ def features(pixels: DataFrame) -> DataFrame:
         (F.max("y") + 1).alias("y1"),
         F.avg("x").alias("cx"),
         F.avg("y").alias("cy"),
-        F.avg("grad").alias("mean_grad"),
-        F.sqrt(variance).alias("std_grad"),
+        F.sum("_g").alias("_one"),
+        F.sum((F.col("_g") * F.col("_g")).cast("decimal(28,0)")).alias("_two"),
     )
+    one, two, n = (F.col(c).cast("double") for c in ("_one", "_two", "area"))
+    spread = (n * two - one * one) / (n * n)
+    return sums.withColumn("mean_grad", one / n / unit).withColumn("std_grad", F.sqrt(F.greatest(spread, F.lit(0.0))) / unit).drop("_one", "_two")
 
 
 def neighbours(pixels: DataFrame) -> DataFrame:
@@ -53,21 +58,29 @@ def neighbours(pixels: DataFrame) -> DataFrame:
     return a.join(b, ["image", "x", "y"])
 
 
-def adjacency(pixels: DataFrame) -> DataFrame:
-    """Edges a < b between touching regions: shared length and mean gradient of the two sides."""
-    touching = neighbours(pixels).filter("la <> lb")
-    return touching.groupBy("image", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(
-        F.count("*").alias("shared_length"), F.avg((F.col("ga") + F.col("gb")) / 2).alias("mean_gradient")
-    )
+def adjacency(pixels: DataFrame, unit: int = 100) -> DataFrame:
+    """Edges a < b between touching regions: shared length and mean gradient of the two sides, by exact sums as in
+    ``features``."""
+    both = F.round(F.col("ga") * unit).cast("long") + F.round(F.col("gb") * unit).cast("long")
+    touching = neighbours(pixels).filter("la <> lb").withColumn("_g", both)
+    edges = touching.groupBy("image", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    found = edges.agg(F.count("*").alias("shared_length"), F.sum("_g").alias("_sum"))
+    return found.withColumn("mean_gradient", F.col("_sum").cast("double") / F.col("shared_length") / (2 * unit)).drop("_sum")
 
 
 def boundary(pixels: DataFrame) -> DataFrame:
-    """Pixels of each region with a 4-neighbour of another label or outside the map."""
-    a, b = pixels.select("image", "x", "y", "label"), pixels.select("image", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("label").alias("other"))
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    around = a.select("*", F.explode(steps).alias("d")).withColumn("nx", F.col("x") + F.col("d.dx")).withColumn("ny", F.col("y") + F.col("d.dy"))
-    same = around.join(b, ["image", "nx", "ny"], "left").groupBy("image", "x", "y", "label").agg(F.sum(F.coalesce((F.col("label") == F.col("other")).cast("int"), F.lit(0))).alias("same"))
-    return same.groupBy("image", "label").agg(F.sum((F.col("same") < 4).cast("long")).alias("boundary"))
+    """Pixels of each region with a 4-neighbour of another label or outside the map: neighbours come from the rows before
+    and behind in a row and in a column, by one window each."""
+    same = F.lit(0)
+    rows, columns = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+    seen = pixels.select("image", "x", "y", "label")
+    for axis, order, step in (("x", rows, 1), ("x", rows, -1), ("y", columns, 1), ("y", columns, -1)):
+        name = f"_{axis}{step + 1}"
+        near = (F.lead(axis, 1) if step > 0 else F.lag(axis, 1)).over(order) == F.col(axis) + step
+        alike = (F.lead("label", 1) if step > 0 else F.lag("label", 1)).over(order).eqNullSafe(F.col("label"))
+        seen = seen.withColumn(name, F.coalesce(near & alike, F.lit(False)).cast("int"))
+        same = same + F.col(name)
+    return seen.groupBy("image", "label").agg(F.sum((same < 4).cast("long")).alias("boundary"))
 
 
 def coverage(pixels: DataFrame, width: int) -> DataFrame:

@@ -36,9 +36,9 @@ def scores(segments: DataFrame, width: int, height: int) -> DataFrame:
 
 def column_intervals(segments: DataFrame, height: int) -> DataFrame:
     """Intervals of boxes in column-major order."""
-    spread = segments.select("image", "sid", "y", "h", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("c"))
+    spread = segments.select("image", "sid", "area", "y", "h", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)).alias("c"))
     start = F.col("c") * height + F.col("y")
-    return spread.select("image", "sid", start.alias("s"), (start + F.col("h")).alias("e"))
+    return spread.select("image", "sid", start.alias("s"), (start + F.col("h")).alias("e"), "area")
 
 
 def box_pairs(segments: DataFrame) -> DataFrame:
@@ -53,23 +53,23 @@ def box_pairs(segments: DataFrame) -> DataFrame:
 
 
 def overlap_measures(segments: DataFrame, own: DataFrame) -> DataFrame:
-    """Overlap, IoU and containment (overlap over the smaller area) of pairs that share pixels."""
-    a = own.withColumnRenamed("sid", "sid_i")
-    b = own.withColumnRenamed("sid", "sid_j")
-    shared = intervals.overlaps(a, b, "image", "sid_i", "sid_j", F.col("sid_i") < F.col("sid_j"))
-    areas = segments.select("image", "sid", "area")
-    joined = shared.join(areas.select("image", F.col("sid").alias("sid_i"), F.col("area").alias("area_i")), ["image", "sid_i"]).join(
-        areas.select("image", F.col("sid").alias("sid_j"), F.col("area").alias("area_j")), ["image", "sid_j"]
-    )
-    return joined.select(
+    """Overlap, IoU and containment (overlap over the smaller area) of pairs that share pixels.
+
+    Areas travel with the intervals, so that no join brings them back."""
+    carried = own.join(segments.select("image", "sid", "area"), ["image", "sid"]) if "area" not in own.columns else own
+    a = carried.select("image", F.struct(F.col("sid"), F.col("area")).alias("i"), "s", "e")
+    b = carried.select("image", F.struct(F.col("sid"), F.col("area")).alias("j"), "s", "e")
+    shared = intervals.overlaps(a, b, "image", "i", "j", F.col("i.sid") < F.col("j.sid"))
+    area_i, area_j = F.col("i.area"), F.col("j.area")
+    return shared.select(
         "image",
-        "sid_i",
-        "sid_j",
-        "area_i",
-        "area_j",
+        F.col("i.sid").alias("sid_i"),
+        F.col("j.sid").alias("sid_j"),
+        area_i.alias("area_i"),
+        area_j.alias("area_j"),
         "overlap",
-        ratio(F.col("overlap"), F.col("area_i") + F.col("area_j") - F.col("overlap")).alias("iou"),
-        ratio(F.col("overlap"), F.least("area_i", "area_j")).alias("containment"),
+        ratio(F.col("overlap"), area_i + area_j - F.col("overlap")).alias("iou"),
+        ratio(F.col("overlap"), F.least(area_i, area_j)).alias("containment"),
     )
 
 
@@ -132,17 +132,19 @@ def nearest_parents(measures: DataFrame, threshold: float = DUPLICATE_IOU, conta
     return pairs.groupBy("image", "sid").agg(F.min("p").alias("p")).select("image", "sid", F.col("p.parent").alias("parent_sid"))
 
 
-def hits(segments: DataFrame, points: DataFrame) -> DataFrame:
-    """Segments under each point, ranked by area and id; points are few and go to every task."""
+def hits(segments: DataFrame, points: DataFrame, own: DataFrame, height: int) -> DataFrame:
+    """Segments under each point, ranked by area and id; points are few and go to every task. Boxes sort out, and the exact
+    column-major intervals decide."""
     inside = (
         (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))
     )
-    found = segments.join(F.broadcast(points), inside)
+    boxed = segments.join(F.broadcast(points), inside).select("image", "sid", "area", "px", "py", (F.col("px").cast("long") * height + F.col("py")).alias("at"))
+    found = boxed.join(own.select("image", "sid", "s", "e"), ["image", "sid"]).filter((F.col("at") >= F.col("s")) & (F.col("at") < F.col("e")))
     rank = F.row_number().over(Window.partitionBy("image", "px", "py").orderBy("area", "sid")).cast("long")
     return found.select("image", "px", "py", "sid", rank.alias("hit_rank"))
 
 
-def visible(represented: DataFrame, covered: DataFrame, least: float = 0.9) -> DataFrame:
+def visible(represented: DataFrame, covered: DataFrame, least: float = 0.98) -> DataFrame:
     """Representatives that are not covered, ranked by priority falling and id rising."""
     shown = represented.filter("is_representative").join(covered.filter(F.col("covered") >= least).select("image", "sid"), ["image", "sid"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("priority"), "sid")).cast("long")

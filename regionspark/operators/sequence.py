@@ -1,15 +1,13 @@
-"""Frame sequences: order, selection, change metrics and warnings."""
+"""Frame sequences: order, selection and change."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import natural_key
 
-#: Thresholds of the frame warnings.
-DROP, GROWTH, LARGE = 0.25, 4.0, 0.80
-
 
 def change(frames: DataFrame) -> DataFrame:
     """Ratio of a frame's foreground to the one before it; null for the first and after an empty frame."""
@@ -17,16 +15,6 @@ def change(frames: DataFrame) -> DataFrame:
     return frames.withColumn("area_ratio", F.when(before != 0, F.col("foreground") / before))
 
 
-def warnings(changed: DataFrame, canvas: Column) -> DataFrame:
-    """Warning codes in a fixed order, joined by commas."""
-    codes = F.array(
-        F.when(F.col("foreground") == 0, "EMPTY"),
-        F.when(F.col("foreground") / canvas >= LARGE, "TOO_LARGE"),
-        F.when(F.col("area_ratio") < DROP, "AREA_DROP").when(F.col("area_ratio") > GROWTH, "AREA_GROWTH"),
-    )
-    return changed.withColumn("codes", F.array_join(F.array_compact(codes), ","))
-
-
 def around(frames: DataFrame, reference: DataFrame, n: int) -> DataFrame:
     """Up to n frames before and after each sequence's reference, with the reference's index in the selection."""
     joined = frames.join(reference.withColumnRenamed("step", "reference"), "seq_key")
@@ -70,12 +58,25 @@ def circular(items: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def naturally_ordered(names: DataFrame, key: str, name: str) -> DataFrame:
-    """Rank by the natural order of names, ties by key. One global order is the operator's point."""
-    keyed = names.select(key, name, natural_key(F.col(name)).alias("nk"))
-    return keyed.withColumn("place", F.row_number().over(Window.orderBy("nk", key)).cast("long")).select(key, name, "place")
+    """Rank by the natural order of names, ties by key. Rows are dealt by ranges of the order, numbered within their range
+    and moved by the sizes of the ranges before, so no task holds them all."""
+    keyed = names.select(key, name, natural_key(F.col(name)).alias("_nk")).repartitionByRange("_nk", key)
+    dealt = cut(keyed.withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_nk", key))
+    joined = dealt.withColumn("_place", inside).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return joined.select(key, name, (F.col("_place") + F.col("_before")).cast("long").alias("place"))
 
 
 def top_k(rows: DataFrame, key: list[str], order: list[Column | str], k: int) -> DataFrame:
     """The first k rows of each key."""
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
     return ranked.filter(F.col("place") <= k)
+
+
+def preview(placed_rows: DataFrame, group: str, name: str, reference: int) -> DataFrame:
+    """The places (from 0) and names of each sequence as lines, the reference marked."""
+    mark = F.when(F.col("place") == reference, "  (reference)").otherwise("")
+    line = F.struct("place", F.concat(F.col("place").cast("string"), F.lit("  "), F.col(name), mark).alias("line"))
+    return placed_rows.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(line))["line"], "\n").alias("preview"))

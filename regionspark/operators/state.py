@@ -9,7 +9,9 @@ DECISIONS = ("keep", "remove", "unreviewed")
 
 
 def normalised(members: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """A decision for every member: unknown ids drop out, missing ones are ``unreviewed``."""
+    """A decision for every member: unknown ids drop out, missing ones are ``unreviewed``; any other value is an error."""
+    wrong = F.raise_error(F.concat(F.lit("unknown decision: "), F.col("decision"))).cast("string")
+    decisions = decisions.withColumn("decision", F.when(F.col("decision").isNull() | F.col("decision").isin(*DECISIONS), F.col("decision")).otherwise(wrong))
     return members.select(*keys).join(decisions.select(*keys, "decision"), keys, "left").withColumn("decision", F.coalesce("decision", F.lit("unreviewed")))
 
 
@@ -39,9 +41,3 @@ def scope_with(images: DataFrame, some: DataFrame, key: str) -> DataFrame:
 def summary(rows: DataFrame, status: str) -> DataFrame:
     """Rows by status."""
     return rows.groupBy(status).agg(F.count("*").alias("n"))
-
-
-def quality_status(black: Column, total: Column) -> Column:
-    """Severity of a mask by its share of excluded pixels: empty without any, full from 0.95 on."""
-    share = black / F.when(total == 0, 1).otherwise(total)
-    return F.when(black == 0, "empty").when(share >= 0.95, "full").otherwise("ok")

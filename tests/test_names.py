@@ -8,7 +8,7 @@ from regionspark.functions import natural_key, safe_name
 def test_long_index_is_whole(spark):
     rows = spark.createDataFrame([(7, "a/b"), (1234567, "c:d"), (None, "e")], "i long, name string")
     got = [r.n for r in rows.select("i", safe_name(F.col("i"), F.col("name")).alias("n")).orderBy("i").collect()]
-    assert got == [None, "000007_a_b", "1234567_c_d"]
+    assert got == [None, "000007__a_b.png", "1234567__c_d.png"]
 
 
 def test_long_digit_runs_sort_as_numbers(spark):
