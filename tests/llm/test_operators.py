@@ -300,7 +300,7 @@ def test_suffix_dedup_of_a_text_over_several_blocks(spark):
     assert row.n_spans == 1
 
 
-def test_packing(docs, empty):
+def test_packing(docs, empty, monkeypatch):
     tokenizer = library(WORDS)
     rows = packing.pack(docs, WORDS, 64).collect()
     want = Counter()
@@ -321,6 +321,13 @@ def test_packing(docs, empty):
         assert at <= 64
     assert len(used) <= 1.05 * sum(r.length for r in rows) / 64 + 2
     assert packing.pack(empty, WORDS).count() == 0
+    for ranks in (packing.RANKS, 3):  # blocks of ranks that entries of the plan cross
+        monkeypatch.setattr(packing, "RANKS", ranks)
+        whole = packing.pack(docs, WORDS, 64, keep_ids=True)
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole.collect()) == want
+        joined = {r.sequence_id: r.ids for r in packing.sequences(whole).collect()}
+        assert sum(map(len, joined.values())) == sum(r.length for r in rows)
+        assert all(joined[r.sequence_id][r.offset : r.offset + r.length] == r.ids for r in whole.collect())
 
 
 def test_packing_plan_is_best_fit():
