@@ -11,8 +11,10 @@ The model is fitted on at most ``MAX_TRAIN`` labelled rows, the first by a hash
 Rows with crc32(id as text) mod 5 = 0 are held out and never learned from. Scoring reads every whole text.
 
 Defined cases: a null or empty text has one indicator of its own and gets a score; rows without a label are scored
-only; a null id counts as not held out and has no label; rows that repeat are scored each; with labels of one class
-only (or none) every text gets the share of that class (or 0.5); an empty table gives an empty table.
+only; a null id counts as not held out and has no label; rows that repeat are scored each; very long texts are read
+whole; of ids that repeat among the labels the larger label counts; with labels of one class only (or none) every text
+gets the share of that class (or 0.5); an empty table gives an empty table. Only the id and the text are read of the
+documents, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Slots are gapless without a window over a whole shard: rows fall into buckets by
 prefix-summed (shards x buckets rows), and a row's slot is its bucket's start plus its rank in the bucket.
 
 Defined cases: a null key is a key like any other (all such rows share a shard); a null text has size 16 and the
-checksum of the empty text; rows that repeat get slots of their own; an empty table gives an empty table.
+checksum of the empty text; rows that repeat get slots of their own; equal draws, of which there are none in practice, go to the lower
+shard; an empty table gives an empty table. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ neighbour until each has one smaller neighbour; pointer doubling then finds the
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; fewer
 words than a shingle give one shingle of all words; a null id is never the smallest of a component (a component of
-null ids has a null component_id); rows that repeat share class and component; an empty table gives an empty table.
+null ids has a null component_id); rows that repeat share class and component; very long texts are read whole; an empty
+table gives an empty table. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
