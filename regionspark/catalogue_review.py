@@ -414,3 +414,59 @@ def leaf_signatures_topk(spark, d):
     segments = ad.segments(spark, d).join(px.select("image").distinct(), "image", "left_semi")
     found = raster.signatures(samples, boxes, segments, ad.seg.column_intervals(segments, ad.HEIGHT), ad.HEIGHT)
     return found.select("image", "label", "sid", "place", rounded("share").alias("share"), rounded("guide").alias("guide"))
+
+
+# masks by mode, where some images have no base
+
+BASED = SIDES.replace(", side AS", ", side0 AS") + ", grid AS (SELECT image, unnest(range(4096)) AS k FROM (SELECT DISTINCT image FROM seg WHERE image % 8 = 0)), " \
+    "side AS (SELECT g.image, g.k, coalesce(s.base, false) AND g.image % 16 <> 0 AS base, g.image % 16 = 0 AS missing, coalesce(s.removed, false) AS removed, coalesce(s.wanted, false) AS wanted FROM grid g LEFT JOIN side0 s ON s.image = g.image AND s.k = g.k)"
+
+
+def by_mode(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    images = ad.segments(spark, d).filter("image % 8 = 0").select("image").distinct()
+    base, kept, removed = (member_intervals(spark, d, f"image % 8 = 0 and {c}") for c in ("v = 0 and image % 16 <> 0", "sid % 3 = 0", "sid % 5 = 0"))
+    mask = pixel_counts(intervals.composed(mode, images, base, kept, removed, 4096))
+    return images.join(mask, "image", "left").select("image", F.coalesce("pixels", F.lit(0).cast("long")).alias("pixels"))
+
+
+@query(BASED + " SELECT image, count(*) FILTER ((base OR missing) AND NOT removed) AS pixels FROM side GROUP BY image")
+def compose_missing_base_exclude(spark, d):
+    return by_mode(spark, d, "exclude_remove")
+
+
+@query(BASED + " SELECT image, count(*) FILTER (wanted) AS pixels FROM side GROUP BY image")
+def compose_missing_base_keep(spark, d):
+    return by_mode(spark, d, "keep_only")
+
+
+@query(BASED + " SELECT image, count(*) FILTER ((base OR wanted) AND NOT removed) AS pixels FROM side GROUP BY image")
+def compose_missing_base_add(spark, d):
+    return by_mode(spark, d, "add_remove")
+
+
+@query(SIDES + " SELECT image, round((4096 - count(*) FILTER (base)) / CAST(4096 AS DOUBLE) * 100, 6) AS excluded FROM side GROUP BY image HAVING count(*) FILTER (base) > 0")
+def live_mask_ratio(spark, d):
+    """Excluded pixels in percent of the canvas."""
+    pixels = pixel_counts(intervals.union(member_intervals(spark, d, "v = 0")))
+    return pixels.select("image", rounded((F.lit(4096) - F.col("pixels")) / F.lit(4096.0) * 100).alias("excluded"))
+
+
+@query("""SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS best FROM
+  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3 GROUP BY o_custkey""")
+def prediction_order(spark, d):
+    """The three best candidates by score falling, ties by index."""
+    from .operators import sequence
+
+    best = sequence.top_k(ad.table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3)
+    ordered = F.array_sort(F.collect_list(F.struct("place", "o_orderkey")))["o_orderkey"]
+    return best.groupBy("o_custkey").agg(F.array_join(ordered.cast("array<string>"), ",").alias("best"))
+
+
+@query(TREE + """, seen AS (SELECT node_id FROM nodes WHERE (kind = 'nation' AND key % 2 = 0) OR (kind = 'customer' AND key % 10 = 0)),
+open AS (SELECT n.node_id FROM nodes n WHERE n.kind IN ('customer', 'supplier')),
+best AS (SELECT u.node_id, arg_min(u.ancestor_id, u.distance) AS visible_id FROM up u JOIN seen s ON s.node_id = u.ancestor_id GROUP BY 1)
+SELECT visible_id, count(*) AS leaves FROM best b JOIN open o ON o.node_id = b.node_id GROUP BY 1""")
+def tree_leaves_by_visible_node(spark, d):
+    tree = ad.nodes(spark, d)
+    found = visible.visible_nodes(tree, shown(tree)).join(shown(tree).withColumnRenamed("node_id", "visible_id"), "visible_id", "left_semi")
+    return found.join(tree.filter("kind in ('customer', 'supplier')").select("node_id"), "node_id").groupBy("visible_id").agg(F.count("*").alias("leaves"))

@@ -249,3 +249,21 @@ def settings_overlaid(spark, d):
     values = F.when(n % 5 == 0, F.array().cast("array<double>")).when(n % 2 == 0, F.array(F.lit(0.1), F.lit(0.9), F.lit(0.9))).otherwise(F.array(F.lit(0.9), F.lit(0.2)))
     text = F.when(n % 6 == 0, "none").otherwise(n.cast("string"))
     return ad.table(spark, d, "part").select("p_partkey", doc.first_best(values).alias("best"), doc.overlaid(F.when(n % 3 == 0, n), F.lit(7)).alias("setting"), doc.clamped(text, 10, 5, 30).alias("clamped"))
+
+
+@query("""SELECT o_custkey, '{"o_custkey":' || o_custkey || ',"frame_count":' || count(*) || ',"frames":[' || string_agg('{"frame_index":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']}' AS document
+FROM orders GROUP BY o_custkey""")
+def frame_documents(spark, d):
+    frames = ad.table(spark, d, "orders").withColumnRenamed("o_orderkey", "frame_index")
+    return sinks.frame_documents(frames, "o_custkey", "o_orderstatus")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a' WHEN p_size % 2 = 0 THEN 'b,c' ELSE 'd' END AS ids, CASE p_size % 2 WHEN 0 THEN 'Large' ELSE 'Small' END AS model FROM part""")
+def valid_ids(spark, d):
+    """Ids by the first list that counts, and the display name of a model from a small dimension."""
+    n = F.col("p_size")
+    explicit = F.when(n % 3 == 0, F.array(F.lit("a")))
+    listed = F.when(n % 2 == 0, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array().cast("array<string>"))
+    models = spark.createDataFrame([(0, "Large"), (1, "Small")], "model_id int, model string")
+    part = ad.table(spark, d, "part").withColumn("model_id", n % 2).join(F.broadcast(models), "model_id")
+    return part.select("p_partkey", F.array_join(doc.valid_ids(explicit, listed, F.array(F.lit("d"))), ",").alias("ids"), "model")

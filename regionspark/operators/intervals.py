@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ratio
 
-#: Width of the buckets by which overlapping intervals meet in an equi-join.
-BUCKET = 64
+#: Bits of the width of the buckets by which overlapping intervals meet in an equi-join.
+SHIFT = 6
 
 
 def run_counts(intervals: DataFrame, keys: list[str], size: Column, members: DataFrame | None = None) -> DataFrame:
@@ -47,8 +47,9 @@ def overlaps(a: DataFrame, b: DataFrame, group: str, a_id: str, b_id: str, extra
     to the buckets so that no overlap counts twice."""
 
     def cut(df: DataFrame, s: str, e: str, i: str) -> DataFrame:
-        spread = df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / BUCKET), F.floor((F.col("e") - 1) / BUCKET))))
-        low, high = F.col("bucket") * BUCKET, (F.col("bucket") + 1) * BUCKET
+        first, last = F.shiftright("s", SHIFT), F.shiftright(F.col("e") - 1, SHIFT)
+        spread = df.select(group, F.col(i), "s", "e", F.explode(F.sequence(first, last)).alias("bucket"))
+        low, high = F.shiftleft("bucket", SHIFT), F.shiftleft(F.col("bucket") + 1, SHIFT)
         return spread.select(group, F.col(i), "bucket", F.greatest("s", low).alias(s), F.least("e", high).alias(e))
 
     left, right = cut(a, "s1", "e1", a_id), cut(b, "s2", "e2", b_id)
@@ -94,6 +95,30 @@ def add_remove(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFra
     return combine({"a": base, "b": added, "c": removed}, lambda c: (c["a"] | c["b"]) & ~c["c"])
 
 
+def resolved_base(images: DataFrame, existing: DataFrame, size: int, whole: bool) -> DataFrame:
+    """The base mask of each image: the existing one, else all of the canvas or nothing. An existing mask without
+    foreground is a row of ``existing`` without extent (s = e); intervals beyond the canvas raise an error."""
+    checked = existing.withColumn("e", F.when(F.col("e") <= size, F.col("e")).otherwise(F.raise_error(F.lit("the mask has another size")).cast("long")))
+    if not whole:
+        return checked.filter("s < e").select("image", "s", "e")
+    missing = images.select("image").distinct().join(existing.select("image"), "image", "left_anti")
+    full = missing.select("image", F.lit(0).cast("long").alias("s"), F.lit(size).cast("long").alias("e"))
+    return checked.filter("s < e").select("image", "s", "e").unionByName(full)
+
+
+def composed(mode: str, images: DataFrame, existing: DataFrame, kept: DataFrame, removed: DataFrame, size: int) -> DataFrame:
+    """The final mask by mode: ``exclude_remove`` takes the removed members from the base (the whole canvas where it is
+    missing), ``keep_only`` is the kept members, whatever is removed, ``add_remove`` adds the kept ones to the base (nothing
+    where it is missing) and takes the removed ones away."""
+    if mode == "exclude_remove":
+        return exclude(resolved_base(images, existing, size, whole=True), removed)
+    if mode == "keep_only":
+        return union(kept)
+    if mode == "add_remove":
+        return add_remove(resolved_base(images, existing, size, whole=False), kept, removed)
+    raise ValueError(f"unknown mode: {mode}")
+
+
 def difference_counts(before: DataFrame, after: DataFrame, group: str = "image") -> DataFrame:
     """Pixels added, removed and kept between two masks."""
     size = F.col("e") - F.col("s")

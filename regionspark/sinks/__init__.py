@@ -82,6 +82,13 @@ def image_documents(images: DataFrame, segments: DataFrame) -> DataFrame:
     return joined.select("image", F.to_json(document).alias("document"))
 
 
+def frame_documents(frames: DataFrame, job: str, *fields: str) -> DataFrame:
+    """One JSON document for each job: its frames in order of their index, and how many there are."""
+    rows = F.array_sort(F.collect_list(F.struct("frame_index", *fields)))
+    grouped = frames.groupBy(job).agg(rows.alias("frames"))
+    return grouped.select(job, F.to_json(F.struct(job, F.size("frames").alias("frame_count"), "frames")).alias("document"))
+
+
 class Files:
     """The files under a path, on any file system that Spark reaches."""
 
