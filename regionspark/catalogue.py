@@ -509,7 +509,7 @@ def edit_log_last_decision(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue_review, catalogue_scalars  # noqa: F401  they register their queries
+    from . import catalogue_plans, catalogue_review, catalogue_scalars  # noqa: F401  they register their queries
 
     return {name: f for name, (f, _) in REGISTRY.items()}
 

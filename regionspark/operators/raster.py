@@ -99,6 +99,36 @@ def in_polygon(x: Column, y: Column, corners: list[tuple[int, int]]) -> Column:
     return border | (crossed % 2 == 1)
 
 
+def in_stroke(x: Column, y: Column, points: list[tuple[int, int]], radius: int) -> Column:
+    """Within ``radius`` of a line through the points, ends included; one point is a circle, none hold nothing."""
+    inside = F.lit(False)
+    for px, py in points:
+        inside |= in_circle(x, y, px, py, radius)
+    for (ax, ay), (bx, by) in zip(points, points[1:], strict=False):
+        dx, dy = bx - ax, by - ay
+        along, across = (x - ax) * dx + (y - ay) * dy, (x - ax) * dy - (y - ay) * dx
+        inside |= along.between(0, dx * dx + dy * dy) & (across * across <= radius * radius * (dx * dx + dy * dy))
+    return inside
+
+
+def gradient(pixels: DataFrame, value: str) -> DataFrame:
+    """The pixels with ``gradient``, the length of the 3 x 3 Sobel gradient of a column; beyond the border the image is
+    mirrored without repeating its edge. Sums along rows come first, then along columns: one window each."""
+
+    def sides(column: str, order: Window) -> tuple[Column, Column]:
+        before, behind = F.lag(column).over(order), F.lead(column).over(order)
+        return F.coalesce(before, behind, F.col(column)), F.coalesce(behind, before, F.col(column))
+
+    rows, columns = Window.partitionBy("image", "y").orderBy("x"), Window.partitionBy("image", "x").orderBy("y")
+    left, right = sides(value, rows)
+    flat = pixels.withColumn("_d", right - left).withColumn("_s", left + 2 * F.col(value) + right)
+    above, below = sides("_d", columns)
+    flat = flat.withColumn("_gx", above + 2 * F.col("_d") + below)
+    above, below = sides("_s", columns)
+    flat = flat.withColumn("_gy", below - above)
+    return flat.withColumn("gradient", F.sqrt(F.col("_gx") * F.col("_gx") + F.col("_gy") * F.col("_gy"))).drop("_d", "_s", "_gx", "_gy")
+
+
 def painted(pixels: DataFrame, shape: Column, add: bool) -> DataFrame:
     """Pixels (value) with a shape painted into or out of the mask."""
     return pixels.withColumn("value", F.when(shape, 255 if add else 0).otherwise(F.col("value")))

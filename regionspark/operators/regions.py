@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..functions.documents import guide_disagreement
 
 
 def label_runs(pixels: DataFrame) -> DataFrame:
@@ -114,3 +115,39 @@ def merge_costs(edges: DataFrame, regions: DataFrame, color: float = 0.5, border
         return F.when(most <= 0, 0.0).otherwise(F.least(F.col(c) / most, F.lit(1.0)))
 
     return terms.select("image", "a", "b", (color * share("c") + border * share("mean_gradient") + size * share("small")).alias("cost"))
+
+
+def dominant_guides(labels: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The best guide of each label (image, label), 0 with a score of 0 where there is none; signatures: image, label, sid,
+    place, guide."""
+    best = signatures.filter("place = 1").select("image", "label", F.col("sid").alias("_sid"), F.col("guide").alias("_guide"))
+    found = labels.select("image", "label").join(best, ["image", "label"], "left")
+    return found.select("image", "label", F.coalesce("_sid", F.lit(0)).cast("long").alias("guide_id"), F.coalesce("_guide", F.lit(0.0)).alias("guide_score"))
+
+
+def first_costs(edges: DataFrame, regions: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The merge cost of each edge before any merge: the terms of ``plans.merging``, as expressions over edges joined with
+    both regions (image, label, area, mean_grad, std_lum, guide_id, guide_score)."""
+
+    def side(name: str) -> DataFrame:
+        return regions.select("image", F.col("label").alias(name), *[F.col(c).alias(f"_{c}_{name}") for c in ("area", "mean_grad", "std_lum", "guide_id", "guide_score")])
+
+    own = Window.partitionBy("image")
+    gap = {c: F.col(f"_{c}_a") - F.col(f"_{c}_b") for c in ("mean_grad", "std_lum")}
+    both = edges.join(side("a"), ["image", "a"]).join(side("b"), ["image", "b"])
+    both = both.withColumn("_colour", F.abs(gap["mean_grad"])).withColumn("_texture", F.sqrt(gap["std_lum"] * gap["std_lum"] + gap["mean_grad"] * gap["mean_grad"]))
+
+    def share(c: str) -> Column:
+        most = F.max(c).over(own)
+        return F.least(F.col(c) / F.when(most > 0, most).otherwise(1.0), F.lit(1.0))
+
+    whole = regions.groupBy("image").agg(F.sum("area").alias("_whole"))
+    terms = {
+        "colour": share("_colour"),
+        "texture": share("_texture"),
+        "border": share("mean_gradient"),
+        "guide": guide_disagreement(F.col("_guide_id_a"), F.col("_guide_score_a"), F.col("_guide_id_b"), F.col("_guide_score_b")),
+        "size": F.least("_area_a", "_area_b") / F.greatest(F.col("_whole"), F.lit(1)),
+    }
+    cost = sum((weights[k] * v for k, v in terms.items()), F.lit(0.0))
+    return both.join(whole, "image").select("image", "a", "b", cost.alias("cost"))

@@ -156,9 +156,10 @@ def bounded_history(log: DataFrame, key: list[str], seq: str, most: int) -> Data
     return log.withColumn("_n", F.row_number().over(back)).filter(F.col("_n") <= most).drop("_n")
 
 
-def undo_redo(log: DataFrame, key: list[str], most: int = 50) -> DataFrame:
+def undo_redo(log: DataFrame, key: list[str], most: int = 50, unchanged: bool = False) -> DataFrame:
     """State after a log (seq, op, value) of edits with undo and redo: an edit drops what could be redone, at most ``most``
-    steps can be undone, undo and redo without steps do nothing. Columns: value, undos, redos.
+    steps can be undone, undo and redo without steps do nothing. Columns: value, undos, redos. With ``unchanged`` an edit
+    without a value is a step that keeps the value, as an edit of a mask that leaves the decisions beside it alone.
 
     A fold over an item's own steps in order; an item's log is short."""
     steps = log.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "op", "value"))).alias("steps"))
@@ -168,7 +169,8 @@ def undo_redo(log: DataFrame, key: list[str], most: int = 50) -> DataFrame:
     def step(state: Column, s: Column) -> Column:
         pushed = F.concat(state["back"], F.array(F.coalesce(state["now"], F.lit(""))))
         kept = F.when(F.size(pushed) > most, F.slice(pushed, 2, most)).otherwise(pushed)
-        edit = F.struct(s["value"].alias("now"), kept.alias("back"), none.alias("ahead"))
+        value = F.coalesce(s["value"], state["now"]) if unchanged else s["value"]
+        edit = F.struct(value.alias("now"), kept.alias("back"), none.alias("ahead"))
         popped = F.slice(state["back"], 1, F.greatest(F.size(state["back"]) - 1, F.lit(0)))
         undone = F.struct(F.try_element_at(state["back"], F.lit(-1)).alias("now"), popped.alias("back"), F.concat(state["ahead"], F.array(F.coalesce(state["now"], F.lit("")))).alias("ahead"))
         left = F.slice(state["ahead"], 1, F.greatest(F.size(state["ahead"]) - 1, F.lit(0)))
