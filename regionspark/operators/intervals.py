@@ -1,8 +1,8 @@
 """Set algebra on half-open intervals of a flat index.
 
 A mask is a set of rows (image, s, e). All set operations are one sweep: starts and ends become events, running sums
-over an image's events give how many members of each side cover each elementary interval, and a predicate on those
-depths selects the result, whose touching pieces are joined. It sorts events once and never expands pixels.
+over the events of a block of an image give how many members of each side cover each elementary interval, and a predicate
+on those depths selects the result, whose touching pieces are joined. It sorts events once and never expands pixels.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from ..functions import ratio
 
 #: Bits of the width of the buckets by which overlapping intervals meet in an equi-join.
 SHIFT = 6
+#: Bits of the width of the blocks that a sweep splits an image into.
+SWEEP_SHIFT = 10
 
 
 def run_counts(intervals: DataFrame, keys: list[str], size: Column, members: DataFrame | None = None) -> DataFrame:
@@ -42,36 +44,45 @@ def decode_runs(members: DataFrame, keys: list[str], counts: str = "counts") ->
     return ends.select(*keys, (F.col("e") - F.col("n")).alias("s"), "e")
 
 
-def overlaps(a: DataFrame, b: DataFrame, group: str, a_id: str, b_id: str, extra: Column | None = None) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, group: str, a_id: str, b_id: str, extra: Column | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Total overlap of members of a and b in a group: an equi-join on buckets of the flat index, with intervals clipped
-    to the buckets so that no overlap counts twice."""
+    to the buckets so that no overlap counts twice. Columns to be ``carried`` hold one value for a member of their side."""
 
     def cut(df: DataFrame, s: str, e: str, i: str) -> DataFrame:
         first, last = F.shiftright("s", SHIFT), F.shiftright(F.col("e") - 1, SHIFT)
-        spread = df.select(group, F.col(i), "s", "e", F.explode(F.sequence(first, last)).alias("bucket"))
+        own = [i, *[c for c in carried if c in df.columns]]
+        spread = df.select(group, *own, "s", "e", F.explode(F.sequence(first, last)).alias("bucket"))
         low, high = F.shiftleft("bucket", SHIFT), F.shiftleft(F.col("bucket") + 1, SHIFT)
-        return spread.select(group, F.col(i), "bucket", F.greatest("s", low).alias(s), F.least("e", high).alias(e))
+        return spread.select(group, *own, "bucket", F.greatest("s", low).alias(s), F.least("e", high).alias(e))
 
     left, right = cut(a, "s1", "e1", a_id), cut(b, "s2", "e2", b_id)
     met = left.join(right, [group, "bucket"]).filter((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
     if extra is not None:
         met = met.filter(extra)
     part = F.least("e1", "e2") - F.greatest("s1", "s2")
-    return met.groupBy(group, a_id, b_id).agg(F.sum(part).alias("overlap"))
+    return met.groupBy(group, a_id, b_id, *carried).agg(F.sum(part).alias("overlap"))
 
 
-def sweep(sides: dict[str, DataFrame], group: str = "image") -> DataFrame:
-    """Elementary intervals with the number of intervals of each side that cover them."""
+def sweep(sides: dict[str, DataFrame], group: str = "image", shift: int = SWEEP_SHIFT) -> DataFrame:
+    """Elementary intervals with the number of intervals of each side that cover them, where any does or did before in its
+    block.
+
+    Intervals are cut at the borders of blocks of the flat index, so that each block is swept by itself and an image that
+    holds much of the data is many tasks. A side is read once; events at one place need no order, since the pieces between
+    them are empty and drop out."""
     events = None
     for name, df in sides.items():
-        for at, step in (("s", 1), ("e", -1)):
-            own = df.select(group, F.col(at).alias("pos"), *[F.lit(step if n == name else 0).alias(n) for n in sides])
-            events = own if events is None else events.unionByName(own)
-    summed = events.groupBy(group, "pos").agg(*[F.sum(n).alias(n) for n in sides])
-    order = Window.partitionBy(group).orderBy("pos")
+        blocks = F.explode(F.sequence(F.shiftright("s", shift), F.shiftright(F.col("e") - 1, shift))).alias("_block")
+        spread = df.filter("s < e").select(group, "s", "e", blocks)
+        low, high = F.greatest("s", F.shiftleft("_block", shift)), F.least("e", F.shiftleft(F.col("_block") + 1, shift))
+        ends = F.explode(F.array(F.struct(low.alias("pos"), F.lit(1).alias("step")), F.struct(high.alias("pos"), F.lit(-1).alias("step"))))
+        both = spread.select(group, "_block", ends.alias("_end"))
+        own = both.select(group, "_block", F.col("_end.pos").alias("pos"), *[(F.col("_end.step") if n == name else F.lit(0)).alias(n) for n in sides])
+        events = own if events is None else events.unionByName(own)
+    order = Window.partitionBy(group, "_block").orderBy("pos")
     depth = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = summed.select(group, F.col("pos").alias("s"), F.lead("pos").over(order).alias("e"), *[F.sum(n).over(depth).alias(n) for n in sides])
-    return out.filter("e is not null")
+    out = events.select(group, F.col("pos").alias("s"), F.lead("pos").over(order).alias("e"), *[F.sum(n).over(depth).alias(n) for n in sides])
+    return out.filter("s < e")
 
 
 def combine(sides: dict[str, DataFrame], keep: Callable[[dict[str, Column]], Column], group: str = "image") -> DataFrame:

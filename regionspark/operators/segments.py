@@ -57,16 +57,16 @@ def overlap_measures(segments: DataFrame, own: DataFrame) -> DataFrame:
 
     Areas travel with the intervals, so that no join brings them back."""
     carried = own.join(segments.select("image", "sid", "area"), ["image", "sid"]) if "area" not in own.columns else own
-    a = carried.select("image", F.struct(F.col("sid"), F.col("area")).alias("i"), "s", "e")
-    b = carried.select("image", F.struct(F.col("sid"), F.col("area")).alias("j"), "s", "e")
-    shared = intervals.overlaps(a, b, "image", "i", "j", F.col("i.sid") < F.col("j.sid"))
-    area_i, area_j = F.col("i.area"), F.col("j.area")
+    a = carried.select("image", F.col("sid").alias("sid_i"), F.col("area").alias("area_i"), "s", "e")
+    b = carried.select("image", F.col("sid").alias("sid_j"), F.col("area").alias("area_j"), "s", "e")
+    shared = intervals.overlaps(a, b, "image", "sid_i", "sid_j", F.col("sid_i") < F.col("sid_j"), carried=("area_i", "area_j"))
+    area_i, area_j = F.col("area_i"), F.col("area_j")
     return shared.select(
         "image",
-        F.col("i.sid").alias("sid_i"),
-        F.col("j.sid").alias("sid_j"),
-        area_i.alias("area_i"),
-        area_j.alias("area_j"),
+        "sid_i",
+        "sid_j",
+        "area_i",
+        "area_j",
         "overlap",
         ratio(F.col("overlap"), area_i + area_j - F.col("overlap")).alias("iou"),
         ratio(F.col("overlap"), F.least(area_i, area_j)).alias("containment"),
