@@ -16,22 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes on a canvas of 64 x 64, some of them twice with a shift of at most one row."""
-    line = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("image"),
-        F.col("l_partkey").alias("pk"),
-        F.col("l_suppkey").alias("sk"),
-        F.col("l_linenumber").cast("long").alias("ln"),
-        F.col("l_extendedprice").alias("ep"),
-        (F.col("l_partkey") % 40).alias("x"),
-        (F.col("l_suppkey") % 40).alias("y"),
-        (1 + F.col("l_quantity").cast("long") % 24).alias("w"),
-        (1 + 3 * F.col("l_linenumber")).cast("long").alias("h"),
-        F.round(100 * (1 - F.col("l_discount"))).cast("long").alias("iou_pct"),
-        F.round(100 * (1 - F.col("l_tax"))).cast("long").alias("stab_pct"),
+    """Boxes on a canvas of 64 x 64, some of them twice with a shift of at most one row.
+
+    Lines are dealt by image as they are, before boxes and second copies are made of them."""
+    names = {"l_orderkey": "image", "l_partkey": "pk", "l_suppkey": "sk", "l_linenumber": "line", "l_extendedprice": "ep", "l_quantity": "n", "l_discount": "d", "l_tax": "t"}
+    line = table(spark, sf_dir, "lineitem").select(*[F.col(c).alias(name) for c, name in names.items()]).repartition("image")
+    copies = F.when(F.col("pk") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    both = line.withColumn("v", F.explode(copies)).select(
+        "image",
+        "pk",
+        "sk",
+        F.col("line").cast("long").alias("ln"),
+        "ep",
+        (F.col("pk") % 40).alias("x"),
+        (F.col("sk") % 40 + F.when(F.col("v") == 1, F.col("pk") % 2).otherwise(0)).alias("y"),
+        (1 + F.col("n").cast("long") % 24).alias("w"),
+        (1 + 3 * F.col("line")).cast("long").alias("h"),
+        (F.round(100 * (1 - F.col("d"))).cast("long") - F.col("v")).alias("iou_pct"),
+        F.round(100 * (1 - F.col("t"))).cast("long").alias("stab_pct"),
+        "v",
     )
-    again = line.filter("pk % 3 = 0").withColumn("y", F.col("y") + F.col("pk") % 2).withColumn("iou_pct", F.col("iou_pct") - 1)
-    both = line.withColumn("v", F.lit(0)).unionByName(again.withColumn("v", F.lit(1)))
     raw = both.withColumn("area", F.col("w") * F.col("h")).withColumn("iou", F.col("iou_pct") / 100.0).withColumn("stab", F.col("stab_pct") / 100.0)
     return seg.canonical_ids(raw, TIES)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..plans.packed import Masks, columns, shared
 
 #: Thresholds of the warnings.
 LARGE, COMPONENTS, DROP, GROWTH, LOW_IOU = 0.80, 10, 0.25, 4.0, 0.05
@@ -22,6 +23,33 @@ def column_runs(masks: DataFrame, height: int) -> DataFrame:
     return spread.select("image", "sid", "c", (F.greatest("s", low) - low).alias("y0"), (F.least("e", low + height) - low).alias("y1"))
 
 
+def touching(frame: np.ndarray, c: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs in order of frame, column and row: the first run of the next column that each touches, by edge or corner, and
+    how many it touches."""
+    # a place that rises with frame, column and row, with a free column between frames
+    most, wide = int(y1.max()) + 2, int(c.max()) + 2
+    column = frame * wide + c
+    first = np.searchsorted(column * most + y1, (column + 1) * most + y0)
+    last = np.searchsorted(column * most + y0, (column + 1) * most + y1, side="right")
+    return first, np.maximum(last - first, 0)
+
+
+def joined_runs(frame: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Components of each frame by the runs that touch."""
+    own = np.repeat(np.arange(len(frame)), many)
+    other = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    up = np.arange(len(frame))
+    while True:
+        least = up.copy()
+        np.minimum.at(least, own, up[other])
+        np.minimum.at(least, other, up[own])
+        least = least[least]
+        if (least == up).all():
+            break
+        up = least
+    return np.bincount(frame[np.flatnonzero(up == np.arange(len(frame)))], minlength=frame[-1] + 1)
+
+
 def component_counts(runs: DataFrame) -> DataFrame:
     """8-connected components of each frame, by union of the runs of adjacent columns that touch."""
 
@@ -29,26 +57,7 @@ def component_counts(runs: DataFrame) -> DataFrame:
         """First row of each frame and its number of components; rows are (image, sid, c, y0, y1) in order."""
         new = np.concatenate([[True], (table[1:, 0] != table[:-1, 0]) | (table[1:, 1] != table[:-1, 1])])
         frame = np.cumsum(new) - 1
-        # a place that rises with frame, column and row, with a free column between frames
-        most = int(table[:, 4].max()) + 2
-        wide = int(table[:, 2].max()) + 2
-        column = frame * wide + table[:, 2]
-        first = np.searchsorted(column * most + table[:, 4], (column + 1) * most + table[:, 3])
-        last = np.searchsorted(column * most + table[:, 3], (column + 1) * most + table[:, 4], side="right")
-        many = np.maximum(last - first, 0)
-        own = np.repeat(np.arange(len(table)), many)
-        other = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        up = np.arange(len(table))
-        while True:
-            least = up.copy()
-            np.minimum.at(least, own, up[other])
-            np.minimum.at(least, other, up[own])
-            least = least[least]
-            if (least == up).all():
-                break
-            up = least
-        roots = np.bincount(frame[np.flatnonzero(up == np.arange(len(table)))], minlength=frame[-1] + 1)
-        return np.flatnonzero(new), roots
+        return np.flatnonzero(new), joined_runs(frame, *touching(frame, table[:, 2], table[:, 3], table[:, 4]))
 
     names = ("image", "sid", "c", "y0", "y1")
 
@@ -83,7 +92,11 @@ def metrics(masks: DataFrame, frames: DataFrame, height: int, width: int) -> Dat
         F.sum(F.col("c") * n).alias("sx"), F.sum((F.col("y0") + F.col("y1") - 1) * n).alias("sy"),
     )
     counted = sums.join(component_counts(runs), ["image", "sid"])
-    joined = frames.select("image", "sid").join(counted, ["image", "sid"], "left")
+    return described(frames.select("image", "sid").join(counted, ["image", "sid"], "left"), height, width)
+
+
+def described(joined: DataFrame, height: int, width: int, *more: str) -> DataFrame:
+    """The metrics from the sums over a frame's runs, which are null where it has none."""
     pixels = F.coalesce("foreground", F.lit(0).cast("long"))
     return joined.select(
         "image", "sid", pixels.alias("foreground"), ratio(pixels, F.lit(height * width)).alias("share"), "x0", "y0", "x1", "y1",
@@ -91,6 +104,7 @@ def metrics(masks: DataFrame, frames: DataFrame, height: int, width: int) -> Dat
         F.coalesce("components", F.lit(0).cast("long")).alias("components"),
         *[F.coalesce(hit, F.lit(False)).alias(name) for hit, name in (
             (F.col("y0") == 0, "top"), (F.col("y1") == height - 1, "bottom"), (F.col("x0") == 0, "left"), (F.col("x1") == width - 1, "right"))],
+        *more,
     )
 
 
@@ -102,22 +116,74 @@ def changes(masks: DataFrame, measured: DataFrame, height: int) -> DataFrame:
     runs = column_runs(masks, height)
     now = runs.join(linked.select("image", "sid", "_before"), ["image", "sid"])
     then = runs.select("image", F.col("sid").alias("_before"), "c", F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
-    shared = (
+    met = (
         now.join(then, ["image", "_before", "c"])
         .filter((F.col("y0") < F.col("_y1")) & (F.col("_y0") < F.col("y1")))
         .groupBy("image", "sid")
         .agg(F.sum(F.least("y1", "_y1") - F.greatest("y0", "_y0")).alias("_shared"))
     )
+    return compared(linked.join(met, ["image", "sid"], "left")).drop("_before")
+
+
+def compared(joined: DataFrame) -> DataFrame:
+    """Area ratio and IoU from the pixels of the frame before and those shared with it."""
     both = F.coalesce("_shared", F.lit(0).cast("long"))
-    joined = linked.join(shared, ["image", "sid"], "left")
     known = F.col("_pixels") > 0
     return (
         joined.withColumn("area_ratio", F.when(known, F.col("foreground") / F.col("_pixels")))
         .withColumn("iou", F.when(known, both / (F.col("foreground") + F.col("_pixels") - both)))
-        .drop("_before", "_pixels", "_shared")
+        .drop("_pixels", "_shared")
     )
 
 
+SUMS = ("foreground", "x0", "y0", "x1", "y1", "sx", "sy", "components")
+
+
+def followed(frames: DataFrame, starts: Column, ends: Column, height: int, width: int) -> DataFrame:
+    """What ``metrics`` and ``changes`` say of frames (image, sid) whose masks are rising disjoint runs in two array columns.
+
+    Frames come image by image in order of sid, and only the one before is held: runs are neither dealt nor joined, and
+    frames that are dealt by image already stay where they are. The arrays are made after the order."""
+    own = Window.partitionBy("image").orderBy("sid")
+    ordered = frames.withColumn("_step", F.row_number().over(own)).select("image", "sid", "_step", starts.alias("_starts"), ends.alias("_ends"))
+
+    def sums(masks: Masks) -> dict[str, pa.Array]:
+        """By name the columns of SUMS; null where a frame has no pixels."""
+        frame, c, y0, y1, at = columns(masks, height)
+        out = {name: np.zeros(len(at) - 1, dtype=np.int64) for name in SUMS}
+        some = at[1:] > at[:-1]
+        if some.any():
+            n, begins = y1 - y0, at[:-1][some]
+            for name, values in (("foreground", n), ("sx", c * n), ("sy", (y0 + y1 - 1) * n)):
+                out[name][some] = np.add.reduceat(values, begins)
+            out["x0"][some], out["x1"][some] = c[begins], c[at[1:][some] - 1]
+            out["y0"][some], out["y1"][some] = np.minimum.reduceat(y0, begins), np.maximum.reduceat(y1, begins) - 1
+            first, many = touching(frame, c, y0, y1)
+            # where no run touches two of the next column, each touch joins two components
+            out["components"][some] = (at[1:] - at[:-1])[some] - np.add.reduceat(many, begins)
+            for i in np.flatnonzero(some)[np.maximum.reduceat(many, begins) > 1]:
+                a, b = at[i], at[i + 1]
+                out["components"][i] = joined_runs(np.zeros(b - a, dtype=np.int64), first[a:b] - a, many[a:b])[0]
+        return {name: pa.array(values, mask=~some) for name, values in out.items()}
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = Masks(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(2, np.int64))
+        for part in parts:
+            if not part.num_rows:
+                continue
+            own = Masks.of(part.column("_starts"), part.column("_ends"))
+            masks, i = before.then(own), np.arange(1, part.num_rows + 1)
+            follows = part.column("_step").to_numpy() > 1
+            more = {"_pixels": pa.array(masks.pixels()[:-1], mask=~follows), "_shared": pa.array(shared(masks, i, masks, i - 1), mask=~follows)}
+            made = {"image": part.column("image"), "sid": part.column("sid"), **sums(own), **more}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+            before = own.part(part.num_rows - 1, part.num_rows)
+
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    kind = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in ("image", "sid", *SUMS, "_pixels", "_shared"))
+    return compared(described(ordered.mapInArrow(run, kind), height, width, "_pixels", "_shared"))
+
+
 def warning_codes(share: Column, components: Column, all_edges: Column, area_ratio: Column, iou: Column, foreground: Column) -> Column:
     """Warning codes in their fixed order. An empty frame has EMPTY_MASK and, after a frame that was not, LOW_IOU only."""
     low = F.when(iou < LOW_IOU, "LOW_IOU")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +41,18 @@ def column_intervals(segments: DataFrame, height: int) -> DataFrame:
     return spread.select("image", "sid", start.alias("s"), (start + F.col("h")).alias("e"), "area")
 
 
+def box_runs(of: Callable[[str], Column], height: int) -> tuple[Column, Column]:
+    """Starts and ends of the column-major runs of a box as arrays; ``of`` gives its x, y, w and h."""
+    x, y, w, h = (of(c).cast("int") for c in "xywh")
+    first = x * height + y
+    last = first + (w - 1) * height
+
+    def places(more: Column) -> Column:
+        return F.when((w > 0) & (h > 0), F.sequence(first + more, last + more, F.lit(height))).otherwise(F.array().cast("array<int>"))
+
+    return places(F.lit(0)), places(h)
+
+
 def box_pairs(segments: DataFrame) -> DataFrame:
     """Pairs of an image's segments whose boxes share a positive area."""
     a = segments.select("image", *[F.col(c).alias(f"{c}_i") for c in ("sid", "x", "y", "w", "h", "area")])
