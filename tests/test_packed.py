@@ -39,7 +39,7 @@ def test_frames_in_one_pass(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["frame_changes"])
+@pytest.mark.parametrize("name", ["frame_changes", "frame_warnings"])
 def test_only_lines_are_dealt(spark, name):
     frame = catalogue.queries()[name](spark, DATA)
     plan = frame._jdf.queryExecution().executedPlan().toString()
