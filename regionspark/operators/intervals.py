@@ -7,12 +7,15 @@ on those depths selects the result, whose touching pieces are joined. It sorts e
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..plans.packed import Masks
 
 #: Bits of the width of the buckets by which overlapping intervals meet in an equi-join.
 SHIFT = 6
@@ -102,8 +105,78 @@ def exclude(base: DataFrame, removed: DataFrame) -> DataFrame:
     return combine({"a": base, "b": removed}, lambda c: c["a"] & ~c["b"])
 
 
+def added_removed(c: dict[str, Column]) -> Column:
+    return (c["a"] | c["b"]) & ~c["c"]
+
+
 def add_remove(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    return combine({"a": base, "b": added, "c": removed}, lambda c: (c["a"] | c["b"]) & ~c["c"])
+    return combine({"a": base, "b": added, "c": removed}, added_removed)
+
+
+def side_counts(members: DataFrame, starts: Column, ends: Column, sides: dict[str, Column], group: str = "image") -> DataFrame:
+    """Pixels of each group (one with pixels at least) by the sides that cover them: ``pixels[k]`` are covered by the sides
+    whose bits are set in k, the first side's being the lowest. Members are rows with runs in two array columns; a side is
+    the union of the members for which its column is true.
+
+    One sweep over the members of one group after another gives what any predicates on the sides count (``counted``).
+    Members that are dealt by group already stay where they are; the arrays are made after they are put in order."""
+    bits, none = len(sides), F.lit(False)
+    which = sum((F.when(F.coalesce(c, none), 1 << i).otherwise(0) for i, c in enumerate(sides.values())), F.lit(0))
+    order = Window.partitionBy(group).orderBy("_which")
+    placed = members.withColumn("_which", which).withColumn("_step", F.row_number().over(order))
+    ordered = placed.select(group, "_step", "_which", starts.alias("_starts"), ends.alias("_ends"))
+
+    def swept(masks: Masks, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Pixels by sides of each group, whose members are those from one of ``at`` to the next."""
+        owner, of = np.repeat(np.arange(len(at) - 1), np.diff(at))[masks.owner], which[masks.owner]
+        kept = (masks.starts < masks.ends) & (of > 0)
+        owner, of, starts, ends = owner[kept], of[kept], masks.starts[kept], masks.ends[kept]
+        out = np.zeros((len(at) - 1) << bits, dtype=np.int64)
+        if len(owner):
+            # an event is one number: group and place, then the sides, then whether a run ends
+            span = int(ends.max()) + 1
+            events = np.sort(np.concatenate([((owner * span + p) << (bits + 1)) | (of << 1) | last for p, last in ((starts, 0), (ends, 1))]))
+            place, step = events >> (bits + 1), 1 - 2 * (events & 1)
+            covering = np.zeros(len(events), dtype=np.int64)
+            for i in range(bits):
+                covering |= (np.cumsum(step * (events >> (i + 1) & 1)) > 0).astype(np.int64) << i
+            size = np.diff(place)
+            met = np.flatnonzero((size > 0) & (covering[:-1] > 0))
+            np.add.at(out, (place[met] // span << bits) + covering[met], size[met])
+        return out.reshape(-1, 1 << bits)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(np.asarray(table.column("_step")) == 1)
+            masks = Masks.of(table.column("_starts"), table.column("_ends"))
+            found = swept(masks, np.asarray(table.column("_which")).astype(np.int64), np.append(at, table.num_rows))
+            some = np.flatnonzero(found.any(axis=1))
+            if len(some):
+                pixels = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) << bits, pa.array(found[some].ravel()))
+                groups = table.column(group).take(pa.array(at[some])).combine_chunks()
+                yield pa.RecordBatch.from_arrays([groups, pixels], names=[group, "pixels"])
+
+        held: list[pa.Table] = []
+        for part in parts:
+            begins = np.flatnonzero(np.asarray(part.column("_step")) == 1)
+            upto = int(begins[-1]) if len(begins) else 0
+            if len(begins) and (held or upto):
+                yield from made(pa.concat_tables([*held, pa.Table.from_batches([part.slice(0, upto)])]))
+                held = []
+            held.append(pa.Table.from_batches([part.slice(upto)]))  # the last group may go on
+        if held:
+            yield from made(pa.concat_tables(held))
+
+    return ordered.mapInArrow(run, f"`{group}` {members.schema[group].dataType.simpleString()}, pixels array<long>")
+
+
+def counted(sides: list[str], keep: Callable[[dict[str, bool]], bool]) -> Column:
+    """Of ``pixels`` by sides, those where ``keep`` holds, given by side whether it covers."""
+    out = F.lit(0).cast("long")
+    for k in range(1, 1 << len(sides)):
+        if keep({n: np.bool_(k >> i & 1) for i, n in enumerate(sides)}):
+            out = out + F.get("pixels", F.lit(k))
+    return out
 
 
 def resolved_base(images: DataFrame, existing: DataFrame, size: int, whole: bool) -> DataFrame:

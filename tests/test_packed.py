@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionspark import catalogue
-from regionspark.operators import frames
+from regionspark.operators import frames, intervals
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,9 +39,35 @@ def test_frames_in_one_pass(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["frame_changes", "frame_warnings"])
+@pytest.mark.parametrize("name", ["frame_changes", "frame_warnings", "mask_save_check"])
 def test_only_lines_are_dealt(spark, name):
     frame = catalogue.queries()[name](spark, DATA)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange\b", plan)) == 1, plan
     assert "Join" not in plan
+
+
+def test_counts_by_sides(spark):
+    rng = np.random.default_rng(8)
+    rows = [(*row, bool(rng.random() < 0.6), bool(rng.random() < 0.5), bool(rng.random() < 0.3)) for row in some_masks(rng, 30, 50)]
+    rows += [(7, 1, [], [], True, True, True), (8, 1, [3], [9], False, False, False), (2, 31, None, None, True, False, False)]
+    packed = spark.createDataFrame(rows, "image long, sid long, starts array<int>, ends array<int>, a boolean, b boolean, c boolean")
+    pixels = {}
+    for image, _, starts, ends, *sides in rows:
+        for name, own in zip("abc", sides, strict=True):
+            pixels.setdefault(image, {n: set() for n in "abc"})[name] |= {k for s, e in zip(starts or [], ends or [], strict=True) for k in range(s, e) if own}
+    want = {}
+    for image, of in pixels.items():
+        after = (of["a"] | of["b"]) - of["c"]
+        if of["a"] | of["b"] | of["c"]:
+            want[image] = (len(after), len(after ^ of["a"]))
+    keep = intervals.added_removed
+    names = ["a", "b", "c"]
+    for size in (1, 4, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = intervals.side_counts(packed, F.col("starts"), F.col("ends"), {n: F.col(n) for n in names})
+            counts = found.select("image", intervals.counted(names, keep), intervals.counted(names, lambda c: keep(c) != c["a"])).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {r[0]: (r[1], r[2]) for r in counts} == want and len(counts) == len(want)
