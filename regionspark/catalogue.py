@@ -192,8 +192,8 @@ shown AS (SELECT * FROM rep WHERE sid = representative AND (image, sid) NOT IN (
 SELECT image, sid, row_number() OVER (PARTITION BY image ORDER BY round(priority, 9) DESC, sid) AS shown_rank FROM shown""")
 def seg_visible_sorted(spark, d):
     """Every fifth segment is removed; what these cover is hidden, but they are not."""
-    shown = represented(spark, d).withColumn("priority", F.round("priority", 9))
-    return seg.visible(shown, covered(spark, d).filter("sid % 5 <> 0"))
+    rows = scored(spark, d).select("image", "sid", "x", "y", "w", "h", "area", "quality", F.round("priority", 9).alias("priority"))
+    return seg.visible_in_turn(rows, *seg.box_runs(F.col, ad.HEIGHT), F.col("sid") % 5 == 0)
 
 
 # masks

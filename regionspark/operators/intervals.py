@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from ..plans.packed import Masks
+from ..plans.packed import Masks, whole_groups
 
 #: Bits of the width of the buckets by which overlapping intervals meet in an equi-join.
 SHIFT = 6
@@ -146,27 +146,15 @@ def side_counts(members: DataFrame, starts: Column, ends: Column, sides: dict[st
         return out.reshape(-1, 1 << bits)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            at = np.flatnonzero(np.asarray(table.column("_step")) == 1)
+        for table, at in whole_groups(parts):
             masks = Masks.of(table.column("_starts"), table.column("_ends"))
-            found = swept(masks, np.asarray(table.column("_which")).astype(np.int64), np.append(at, table.num_rows))
+            found = swept(masks, np.asarray(table.column("_which")).astype(np.int64), at)
             some = np.flatnonzero(found.any(axis=1))
             if len(some):
                 pixels = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) << bits, pa.array(found[some].ravel()))
                 groups = table.column(group).take(pa.array(at[some])).combine_chunks()
                 yield pa.RecordBatch.from_arrays([groups, pixels], names=[group, "pixels"])
 
-        held: list[pa.Table] = []
-        for part in parts:
-            begins = np.flatnonzero(np.asarray(part.column("_step")) == 1)
-            upto = int(begins[-1]) if len(begins) else 0
-            if len(begins) and (held or upto):
-                yield from made(pa.concat_tables([*held, pa.Table.from_batches([part.slice(0, upto)])]))
-                held = []
-            held.append(pa.Table.from_batches([part.slice(upto)]))  # the last group may go on
-        if held:
-            yield from made(pa.concat_tables(held))
-
     return ordered.mapInArrow(run, f"`{group}` {members.schema[group].dataType.simpleString()}, pixels array<long>")
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio, touches_edge
+from ..plans import packed
 from . import intervals
 
-DUPLICATE_IOU, CONTAINED = 0.85, 0.95
+DUPLICATE_IOU, CONTAINED, HIDDEN = 0.85, 0.95, 0.98
 
 
 def canonical_ids(raw: DataFrame, tie_break: list[str]) -> DataFrame:
@@ -123,6 +125,46 @@ def group_ids(segments: DataFrame, measures: DataFrame, threshold: float = DUPLI
     return joined.withColumn("group_id", F.coalesce("group_id", "sid"))
 
 
+def visible_in_turn(segments: DataFrame, starts: Column, ends: Column, covers: Column, threshold: float = DUPLICATE_IOU, least: float = HIDDEN) -> DataFrame:
+    """What ``visible`` says of the representatives of segments (image, sid, area, quality, priority) that the union of the
+    covering ones hides; these are not hidden. Masks are rising disjoint runs in two array columns.
+
+    Image by image the segments are compared with each other by their runs, joined to groups, named, covered and ranked:
+    neither runs nor pairs are dealt or joined, and segments that are dealt by image already stay where they are. The arrays
+    are made after the segments are put in order."""
+    own = Window.partitionBy("image").orderBy("sid")
+    marks = [F.col(c).cast("double").alias(c) for c in ("area", "quality", "priority")]
+    steps = segments.withColumn("_step", F.row_number().over(own))
+    ordered = steps.select("image", "sid", "_step", *marks, F.coalesce(covers, F.lit(False)).alias("_covers"), starts.alias("_starts"), ends.alias("_ends"))
+
+    def falling(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, the last first, by which values fall and those that are missing come last."""
+        return -values, np.isnan(values)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in packed.whole_groups(parts):
+            image, n = np.repeat(np.arange(len(at) - 1), np.diff(at)), table.num_rows
+            area, quality, priority = (table.column(c).to_numpy() for c in ("area", "quality", "priority"))
+            covering = table.column("_covers").to_numpy()
+            masks = packed.Masks.of(table.column("_starts"), table.column("_ends"))
+            links = [np.zeros((2, 0), dtype=np.int64), *map(np.stack, packed.alike(masks, image, threshold))]
+            group = packed.least_reachable(n, *np.concatenate(links, axis=1))
+            # rows are in order of sid, which decides what is left
+            order = np.lexsort((*falling(area), *falling(quality), group))
+            leads = np.zeros(n, dtype=bool)
+            leads[order[np.flatnonzero(np.diff(group[order], prepend=-1))]] = True
+            cover = packed.united(masks, np.where(covering, image, -1), len(at) - 1)
+            covered = packed.shared(masks, np.arange(n), cover, image) / np.where(area == 0, np.inf, area)
+            shown = np.flatnonzero(leads & (covering | ~(covered >= least)))
+            shown = shown[np.lexsort((*falling(priority[shown]), image[shown]))]
+            first = np.searchsorted(image[shown], image[shown])
+            told = table.select(["image", "sid"]).take(pa.array(shown)).append_column("shown_rank", pa.array(np.arange(len(shown)) - first + 1))
+            yield from told.to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    return ordered.mapInArrow(run, f"image {kinds['image']}, sid {kinds['sid']}, shown_rank long")
+
+
 def representatives(grouped: DataFrame) -> DataFrame:
     """Of each group the member with the best quality, then the largest area, then the smallest id."""
     best = Window.partitionBy("image", "group_id").orderBy(F.desc("quality"), F.desc("area"), "sid")
@@ -156,7 +198,7 @@ def hits(segments: DataFrame, points: DataFrame, own: DataFrame, height: int) ->
     return found.select("image", "px", "py", "sid", rank.alias("hit_rank"))
 
 
-def visible(represented: DataFrame, covered: DataFrame, least: float = 0.98) -> DataFrame:
+def visible(represented: DataFrame, covered: DataFrame, least: float = HIDDEN) -> DataFrame:
     """Representatives that are not covered, ranked by priority falling and id rising."""
     shown = represented.filter("is_representative").join(covered.filter(F.col("covered") >= least).select("image", "sid"), ["image", "sid"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("priority"), "sid")).cast("long")

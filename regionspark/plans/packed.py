@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,3 +72,83 @@ def columns(masks: Masks, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     low = c * height
     y0, y1 = np.maximum(masks.starts[run], low) - low, np.minimum(masks.ends[run], low + height) - low
     return masks.owner[run], c, y0, y1, np.concatenate([[0], np.cumsum(many)])[masks.at]
+
+
+def whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows that come group by group, with ``_step`` 1 where one begins: tables of whole groups, and where in them these
+    begin and end."""
+
+    def begins(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(np.asarray(table.column("_step")) == 1)
+
+    held: list[pa.Table] = []
+    for part in parts:
+        first = begins(part)
+        if len(first):
+            upto = int(first[-1])
+            if held or upto:
+                table = pa.concat_tables([*held, pa.Table.from_batches([part.slice(0, upto)])])
+                yield table, np.append(begins(table), table.num_rows)
+            held, part = [], part.slice(upto)
+        held.append(pa.Table.from_batches([part]))  # the last group may go on
+    if held:
+        table = pa.concat_tables(held)
+        yield table, np.append(begins(table), table.num_rows)
+
+
+def united(masks: Masks, group: np.ndarray, groups: int) -> Masks:
+    """The union of the masks of each group as one mask; ``group`` of a mask rises, or is negative if it takes no part."""
+    owner = group[masks.owner]
+    kept = (owner >= 0) & (masks.starts < masks.ends)
+    owner, starts, ends = owner[kept], masks.starts[kept], masks.ends[kept]
+    if not len(owner):
+        return Masks(starts, ends, np.zeros(groups + 1, dtype=np.int64))
+    span = int(ends.max()) + 1
+    order = np.argsort(owner * span + starts)
+    owner, first = owner[order], (owner * span + starts)[order]
+    reach = np.maximum.accumulate(owner * span + ends[order])
+    # an island begins behind all that comes before it, or with its group
+    new = np.flatnonzero(np.concatenate([[True], (first[1:] > reach[:-1]) | (owner[1:] != owner[:-1])]))
+    of, last = owner[new], np.append(new[1:], len(first)) - 1
+    return Masks(first[new] - of * span, reach[last] - of * span, np.searchsorted(of, np.arange(groups + 1)))
+
+
+def alike(masks: Masks, group: np.ndarray, threshold: float, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of masks of one group with an IoU from the threshold on. The IoU is at most the smaller area by the larger, so
+    only masks of such areas are compared, and of these the ones whose extents meet; at most about ``most`` at a time."""
+    areas = masks.pixels()
+    order = np.lexsort((areas, group))
+    g, a = group[order], areas[order]
+    low, high = np.zeros(len(areas), dtype=np.int64), np.zeros(len(areas), dtype=np.int64)
+    some = masks.at[1:] > masks.at[:-1]
+    low[some], high[some] = masks.starts[masks.at[:-1][some]], masks.ends[masks.at[1:][some] - 1]
+    # with areas rising, those from here on up to this one's area by the threshold
+    wide = int(a.max(initial=0)) + 2
+    bound = np.minimum(np.floor(a / threshold * (1 + 1e-9)).astype(np.int64), wide - 1)
+    many = np.searchsorted(g * wide + a, g * wide + bound, side="right") - np.arange(len(a)) - 1
+    total = np.concatenate([[0], np.cumsum(many)])
+    begin = 0
+    while begin < len(a):
+        upto = max(begin + 1, int(np.searchsorted(total, total[begin] + most, side="right")) - 1)
+        one, nth = expanded(many[begin:upto])
+        i, j = order[one + begin], order[one + begin + 1 + nth]
+        meets = (low[i] < high[j]) & (low[j] < high[i])
+        i, j = i[meets], j[meets]
+        overlap = shared(masks, i, masks, j)
+        union = areas[i] + areas[j] - overlap
+        same = (overlap > 0) & (overlap / np.maximum(union, 1) >= threshold)
+        yield i[same], j[same]
+        begin = upto
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n places the smallest that links between a[i] and b[i] reach."""
+    up = np.arange(n)
+    while True:
+        least = up.copy()
+        np.minimum.at(least, a, up[b])
+        np.minimum.at(least, b, up[a])
+        least = least[least]
+        if (least == up).all():
+            return up
+        up = least

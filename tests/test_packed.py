@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from regionspark import catalogue
 from regionspark.operators import frames, intervals
+from regionspark.operators import segments as seg
+from regionspark.plans import packed
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,7 +41,7 @@ def test_frames_in_one_pass(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["frame_changes", "frame_warnings", "mask_save_check"])
+@pytest.mark.parametrize("name", ["frame_changes", "frame_warnings", "mask_save_check", "seg_visible_sorted"])
 def test_only_lines_are_dealt(spark, name):
     frame = catalogue.queries()[name](spark, DATA)
     plan = frame._jdf.queryExecution().executedPlan().toString()
@@ -71,3 +73,43 @@ def test_counts_by_sides(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert {r[0]: (r[1], r[2]) for r in counts} == want and len(counts) == len(want)
+
+
+def test_visible_in_one_pass(spark):
+    rng = np.random.default_rng(6)
+    boxes = [(image, sid, int(rng.integers(0, 6)), int(rng.integers(0, 6)), int(rng.integers(1, 9)), int(rng.integers(1, 9))) for image, n in ((1, 90), (2, 1), (3, 7)) for sid in range(n, 0, -1)]
+    # a chain: neighbours are alike, its ends are not
+    boxes += [(4, 9 - i, i, 0, 20, 30) for i in range(5)] + [(5, 1, 0, 0, 9, 9), (5, 2, 0, 0, 9, 9), (5, 3, 20, 0, 9, 9)]
+    segments = spark.createDataFrame(boxes, "image long, sid long, x long, y long, w long, h long").withColumn("area", F.col("w") * F.col("h"))
+    # marks that tie, and some that are missing
+    segments = segments.withColumn("quality", F.when(F.col("sid") % 7 > 0, F.col("sid") % 3 / 2)).withColumn("priority", F.when(F.col("sid") % 4 > 0, F.col("x") / 4))
+    height = 40
+    own = seg.column_intervals(segments, height)
+    named = seg.representatives(seg.group_ids(segments, seg.overlap_measures(segments, own)))
+    covers = F.col("sid") % 5 == 1
+    covered = intervals.covered_ratio(own, intervals.union(own.filter("sid % 5 = 1")), segments).filter("sid % 5 <> 1")
+    want = seg.visible(named, covered)
+    assert 0 < want.count() < named.filter("is_representative").count() < segments.count()
+    for size in (1, 8, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = seg.visible_in_turn(segments, *seg.box_runs(F.col, height), covers)
+            assert got.columns == want.columns
+            assert sorted(got.collect()) == sorted(want.collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_alike_in_parts():
+    rng = np.random.default_rng(3)
+    starts = rng.integers(0, 30, 300)
+    masks, group = packed.Masks(starts, starts + rng.integers(0, 30, 300), np.arange(301)), np.sort(rng.integers(0, 4, 300))
+    want = set()
+    for i in range(300):
+        for j in range(i):
+            overlap = max(0, min(masks.ends[i], masks.ends[j]) - max(starts[i], starts[j]))
+            if group[i] == group[j] and overlap and overlap / (masks.pixels()[i] + masks.pixels()[j] - overlap) >= 0.6:
+                want.add((j, i))
+    for most in (1, 50, 1 << 18):
+        got = [(min(i, j), max(i, j)) for a, b in packed.alike(masks, group, 0.6, most) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert set(got) == want and len(got) == len(want)
