@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from ..plans.packed import Masks, columns, shared
+from ..plans.packed import Masks, columns, joined_runs, shared, touching
 
 #: Thresholds of the warnings.
 LARGE, COMPONENTS, DROP, GROWTH, LOW_IOU = 0.80, 10, 0.25, 4.0, 0.05
@@ -23,33 +23,6 @@ def column_runs(masks: DataFrame, height: int) -> DataFrame:
     return spread.select("image", "sid", "c", (F.greatest("s", low) - low).alias("y0"), (F.least("e", low + height) - low).alias("y1"))
 
 
-def touching(frame: np.ndarray, c: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of runs in order of frame, column and row: the first run of the next column that each touches, by edge or corner, and
-    how many it touches."""
-    # a place that rises with frame, column and row, with a free column between frames
-    most, wide = int(y1.max()) + 2, int(c.max()) + 2
-    column = frame * wide + c
-    first = np.searchsorted(column * most + y1, (column + 1) * most + y0)
-    last = np.searchsorted(column * most + y0, (column + 1) * most + y1, side="right")
-    return first, np.maximum(last - first, 0)
-
-
-def joined_runs(frame: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Components of each frame by the runs that touch."""
-    own = np.repeat(np.arange(len(frame)), many)
-    other = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    up = np.arange(len(frame))
-    while True:
-        least = up.copy()
-        np.minimum.at(least, own, up[other])
-        np.minimum.at(least, other, up[own])
-        least = least[least]
-        if (least == up).all():
-            break
-        up = least
-    return np.bincount(frame[np.flatnonzero(up == np.arange(len(frame)))], minlength=frame[-1] + 1)
-
-
 def component_counts(runs: DataFrame) -> DataFrame:
     """8-connected components of each frame, by union of the runs of adjacent columns that touch."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio, touches_edge
-from ..plans import packed
+from ..plans.packed import Masks, alike, least_reachable, shared, united, whole_groups
 from . import intervals
 
 DUPLICATE_IOU, CONTAINED, HIDDEN = 0.85, 0.95, 0.98
@@ -142,19 +142,19 @@ def visible_in_turn(segments: DataFrame, starts: Column, ends: Column, covers: C
         return -values, np.isnan(values)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in packed.whole_groups(parts):
+        for table, at in whole_groups(parts):
             image, n = np.repeat(np.arange(len(at) - 1), np.diff(at)), table.num_rows
             area, quality, priority = (table.column(c).to_numpy() for c in ("area", "quality", "priority"))
             covering = table.column("_covers").to_numpy()
-            masks = packed.Masks.of(table.column("_starts"), table.column("_ends"))
-            links = [np.zeros((2, 0), dtype=np.int64), *map(np.stack, packed.alike(masks, image, threshold))]
-            group = packed.least_reachable(n, *np.concatenate(links, axis=1))
+            masks = Masks.of(table.column("_starts"), table.column("_ends"))
+            links = [np.zeros((2, 0), dtype=np.int64), *map(np.stack, alike(masks, image, threshold))]
+            group = least_reachable(n, *np.concatenate(links, axis=1))
             # rows are in order of sid, which decides what is left
             order = np.lexsort((*falling(area), *falling(quality), group))
             leads = np.zeros(n, dtype=bool)
             leads[order[np.flatnonzero(np.diff(group[order], prepend=-1))]] = True
-            cover = packed.united(masks, np.where(covering, image, -1), len(at) - 1)
-            covered = packed.shared(masks, np.arange(n), cover, image) / np.where(area == 0, np.inf, area)
+            cover = united(masks, np.where(covering, image, -1), len(at) - 1)
+            covered = shared(masks, np.arange(n), cover, image) / np.where(area == 0, np.inf, area)
             shown = np.flatnonzero(leads & (covering | ~(covered >= least)))
             shown = shown[np.lexsort((*falling(priority[shown]), image[shown]))]
             first = np.searchsorted(image[shown], image[shown])

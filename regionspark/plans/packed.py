@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+# the kernels go along with their tasks, whether or not workers find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Masks:
@@ -74,6 +79,33 @@ def columns(masks: Masks, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return masks.owner[run], c, y0, y1, np.concatenate([[0], np.cumsum(many)])[masks.at]
 
 
+def touching(frame: np.ndarray, c: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs in order of frame, column and row: the first run of the next column that each touches, by edge or corner, and
+    how many it touches."""
+    # a place that rises with frame, column and row, with a free column between frames
+    most, wide = int(y1.max()) + 2, int(c.max()) + 2
+    column = frame * wide + c
+    first = np.searchsorted(column * most + y1, (column + 1) * most + y0)
+    last = np.searchsorted(column * most + y0, (column + 1) * most + y1, side="right")
+    return first, np.maximum(last - first, 0)
+
+
+def joined_runs(frame: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Components of each frame by the runs that touch."""
+    own = np.repeat(np.arange(len(frame)), many)
+    other = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    up = np.arange(len(frame))
+    while True:
+        least = up.copy()
+        np.minimum.at(least, own, up[other])
+        np.minimum.at(least, other, up[own])
+        least = least[least]
+        if (least == up).all():
+            break
+        up = least
+    return np.bincount(frame[np.flatnonzero(up == np.arange(len(frame)))], minlength=frame[-1] + 1)
+
+
 def whole_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Of rows that come group by group, with ``_step`` 1 where one begins: tables of whole groups, and where in them these
     begin and end."""
