@@ -72,7 +72,8 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def represented(spark: SparkSession, d: str) -> DataFrame:
-    return seg.representatives(seg.group_ids(scored(spark, d), measures(spark, d)))
+    best_first = [F.desc("quality"), F.desc("area"), "sid"]
+    return seg.represented_in_turn(scored(spark, d), *seg.box_runs(F.col, ad.HEIGHT), best_first)
 
 
 def member_intervals(spark: SparkSession, d: str, condition: str) -> DataFrame:

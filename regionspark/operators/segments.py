@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio, touches_edge
-from ..plans.packed import Masks, alike, least_reachable, shared, united, whole_groups
+from ..plans.packed import Masks, alike, classes, least_reachable, owners, shared, united, whole_groups
 from . import intervals
 
 DUPLICATE_IOU, CONTAINED, HIDDEN = 0.85, 0.95, 0.98
@@ -87,6 +87,18 @@ def overlap_measures(segments: DataFrame, own: DataFrame) -> DataFrame:
     )
 
 
+def ordered_masks(segments: DataFrame, order: list[str | Column], carried: list[str], starts: Column, ends: Column) -> DataFrame:
+    """Segments image by image in this order, which ``_step`` counts from 1, with their masks: rising disjoint runs in two
+    array columns. Segments that are dealt by image already stay where they are; the arrays are made after they are put in
+    order."""
+    steps = segments.withColumn("_step", F.row_number().over(Window.partitionBy("image").orderBy(*order)))
+    return steps.select("image", "sid", "_step", *carried, starts.alias("_starts"), ends.alias("_ends"))
+
+
+def sql_types(segments: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+
+
 def group_ids(segments: DataFrame, measures: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame:
     """The smallest segment id reachable over pairs with IoU from the threshold on, for every segment.
 
@@ -125,6 +137,24 @@ def group_ids(segments: DataFrame, measures: DataFrame, threshold: float = DUPLI
     return joined.withColumn("group_id", F.coalesce("group_id", "sid"))
 
 
+def represented_in_turn(segments: DataFrame, starts: Column, ends: Column, order: list[str | Column], threshold: float = DUPLICATE_IOU) -> DataFrame:
+    """The group of each segment (image, sid), as ``group_ids`` names it, and as its representative the member that comes
+    first in ``order``. Masks are rows, as in ``ordered_masks``; neither runs nor pairs are dealt or joined, and a task holds the masks of one image."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(parts):
+            masks, sid = Masks.of(table.column("_starts"), table.column("_ends")), table.column("sid").to_numpy()
+            first = classes(masks, owners(table.column("image"), at), threshold)
+            least = sid.copy()
+            np.minimum.at(least, first, sid)
+            told = table.select(["image", "sid"]).append_column("group_id", pa.array(least[first])).append_column("representative", pa.array(sid[first]))
+            yield from told.to_batches()
+
+    kind = sql_types(segments)
+    schema = f"image {kind['image']}, sid {kind['sid']}, group_id {kind['sid']}, representative {kind['sid']}"
+    return ordered_masks(segments, order, [], starts, ends).mapInArrow(run, schema)
+
+
 def visible_in_turn(segments: DataFrame, starts: Column, ends: Column, covers: Column, threshold: float = DUPLICATE_IOU, least: float = HIDDEN) -> DataFrame:
     """What ``visible`` says of the representatives of segments (image, sid, area, quality, priority) that the union of the
     covering ones hides; these are not hidden. Masks are rising disjoint runs in two array columns.

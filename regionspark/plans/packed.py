@@ -184,3 +184,20 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (least == up).all():
             return up
         up = least
+
+
+def owners(keys: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
+    """Which group each row is of, with groups from one of ``at`` to the next; rows without a key are of groups of their own,
+    as a join finds no partner for them."""
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return np.where(np.asarray(keys.is_valid()), of, -1 - np.arange(len(of)))
+
+
+def classes(masks: Masks, group: np.ndarray, threshold: float, most: int = 1 << 18) -> np.ndarray:
+    """Of each mask the first that links of one group with an IoU from the threshold on reach. Links of some pairs at a time
+    are folded into what is reached so far, so that their number doesn't matter."""
+    up = np.arange(len(group))
+    for a, b in alike(masks, group, threshold, most):
+        if len(a):
+            up = least_reachable(len(up), np.concatenate([np.arange(len(up)), a]), np.concatenate([up, b]))
+    return up

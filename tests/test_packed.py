@@ -113,3 +113,51 @@ def test_alike_in_parts():
     for most in (1, 50, 1 << 18):
         got = [(min(i, j), max(i, j)) for a, b in packed.alike(masks, group, 0.6, most) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["seg_representatives"])
+def test_segments_are_compared_where_they_are(spark, name):
+    test_only_lines_are_dealt(spark, name)
+
+
+def some_segments(spark):
+    """Boxes that overlap, an image of one, a chain whose ends are not alike, equal boxes, and an image without a key."""
+    rng = np.random.default_rng(11)
+    boxes = [(image, sid, int(rng.integers(0, 6)), int(rng.integers(0, 6)), int(rng.integers(1, 9)), int(rng.integers(1, 9))) for image, n in ((1, 90), (2, 1), (3, 7)) for sid in range(n, 0, -1)]
+    boxes += [(4, 9 - i, i, 0, 20, 30) for i in range(5)] + [(5, 1, 0, 0, 9, 9), (5, 2, 0, 0, 9, 9), (5, 3, 20, 0, 9, 9), (6, 1, 0, 0, 20, 30), (6, 2, 3, 3, 4, 4), (6, 3, 2, 2, 9, 9), (6, 4, 2, 2, 9, 9)]
+    boxes += [(None, 1, 0, 0, 9, 9), (None, 2, 0, 0, 9, 9), (None, 3, 1, 1, 2, 2)]
+    segments = spark.createDataFrame(boxes, "image long, sid long, x long, y long, w long, h long").withColumn("area", F.col("w") * F.col("h"))
+    return segments.withColumn("quality", F.when(F.col("sid") % 7 > 0, F.col("sid") % 3 / 2))
+
+
+def same_in_batches(spark, want, make):
+    want = want.cache()
+    rows = sorted(want.collect(), key=repr)
+    assert rows
+    for size in (1, 8, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = make()
+            assert got.columns == want.columns
+            assert sorted(got.collect(), key=repr) == rows
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_represented_in_one_pass(spark):
+    segments, height = some_segments(spark), 40
+    own = seg.column_intervals(segments, height)
+    want = seg.representatives(seg.group_ids(segments, seg.overlap_measures(segments, own)))
+    assert want.filter("representative <> group_id").count() and want.filter("group_id < sid").count()
+    best_first = [F.desc("quality"), F.desc("area"), "sid"]
+    same_in_batches(spark, want.select("image", "sid", "group_id", "representative"), lambda: seg.represented_in_turn(segments, *seg.box_runs(F.col, height), best_first))
+
+
+def test_classes_in_parts():
+    rng = np.random.default_rng(5)
+    starts = np.sort(rng.integers(0, 900, 300))
+    masks, group = packed.Masks(starts, starts + rng.integers(1, 40, 300), np.arange(301)), np.sort(rng.integers(0, 3, 300))
+    whole = packed.classes(masks, group, 0.6)
+    assert 20 < len(set(whole.tolist())) < 290
+    for most in (1, 7):
+        assert (packed.classes(masks, group, 0.6, most) == whole).all()
