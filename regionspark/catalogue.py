@@ -146,7 +146,7 @@ def seg_representatives(spark, d):
 
 @query(REPS + " SELECT image, count(DISTINCT group_id) AS groups, count(*) AS members FROM rep GROUP BY image")
 def seg_group_counts(spark, d):
-    return represented(spark, d).groupBy("image").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("members"))
+    return seg.group_counts_in_turn(ad.segments(spark, d), *seg.box_runs(F.col, ad.HEIGHT))
 
 
 NEAREST = MEASURES + """, nested AS (SELECT image, CASE WHEN area_j < area_i OR (area_j = area_i AND sid_j > sid_i) THEN sid_j ELSE sid_i END AS sid,

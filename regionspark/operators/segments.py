@@ -155,6 +155,20 @@ def represented_in_turn(segments: DataFrame, starts: Column, ends: Column, order
     return ordered_masks(segments, order, [], starts, ends).mapInArrow(run, schema)
 
 
+def group_counts_in_turn(segments: DataFrame, starts: Column, ends: Column, threshold: float = DUPLICATE_IOU) -> DataFrame:
+    """Groups and members of each image, of segments and masks as in ``represented_in_turn``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(parts):
+            masks = Masks.of(table.column("_starts"), table.column("_ends"))
+            first = classes(masks, owners(table.column("image"), at), threshold)
+            groups = np.add.reduceat(first == np.arange(len(first)), at[:-1], dtype=np.int64)
+            columns = {"image": table.column("image").take(pa.array(at[:-1])), "groups": pa.array(groups), "members": pa.array(np.diff(at).astype(np.int64))}
+            yield from pa.table(columns).to_batches()
+
+    return ordered_masks(segments, ["sid"], [], starts, ends).mapInArrow(run, f"image {sql_types(segments)['image']}, groups long, members long")
+
+
 def visible_in_turn(segments: DataFrame, starts: Column, ends: Column, covers: Column, threshold: float = DUPLICATE_IOU, least: float = HIDDEN) -> DataFrame:
     """What ``visible`` says of the representatives of segments (image, sid, area, quality, priority) that the union of the
     covering ones hides; these are not hidden. Masks are rising disjoint runs in two array columns.

@@ -115,7 +115,7 @@ def test_alike_in_parts():
         assert set(got) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name", ["seg_representatives"])
+@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts"])
 def test_segments_are_compared_where_they_are(spark, name):
     test_only_lines_are_dealt(spark, name)
 
@@ -161,3 +161,11 @@ def test_classes_in_parts():
     assert 20 < len(set(whole.tolist())) < 290
     for most in (1, 7):
         assert (packed.classes(masks, group, 0.6, most) == whole).all()
+
+
+def test_group_counts_in_one_pass(spark):
+    segments, height = some_segments(spark), 40
+    grouped = seg.group_ids(segments, seg.overlap_measures(segments, seg.column_intervals(segments, height)))
+    want = grouped.groupBy("image").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("members"))
+    assert want.filter("1 < groups and groups < members").count()
+    same_in_batches(spark, want, lambda: seg.group_counts_in_turn(segments, *seg.box_runs(F.col, height)))
