@@ -136,7 +136,7 @@ def seg_overlap_iou_containment(spark, d):
 
 @query(GROUPS + " SELECT image, sid, group_id FROM grouped")
 def seg_duplicate_groups(spark, d):
-    return seg.group_ids(ad.segments(spark, d), measures(spark, d)).select("image", "sid", "group_id")
+    return seg.represented_in_turn(ad.segments(spark, d), *seg.box_runs(F.col, ad.HEIGHT), ["sid"]).select("image", "sid", "group_id")
 
 
 @query(REPS + " SELECT image, sid, group_id, representative FROM rep")

@@ -115,7 +115,7 @@ def test_alike_in_parts():
         assert set(got) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts"])
+@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts", "seg_duplicate_groups"])
 def test_segments_are_compared_where_they_are(spark, name):
     test_only_lines_are_dealt(spark, name)
 
