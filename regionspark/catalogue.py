@@ -64,7 +64,7 @@ EFFECTIVE = TREE + """, held AS (SELECT u.node_id, arg_min(d.decision, u.distanc
 effective AS (SELECT n.node_id, n.kind, n.area, coalesce(h.decision, 'unreviewed') AS decision FROM nodes n LEFT JOIN held h ON h.node_id = n.node_id)"""
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
-    return seg.overlap_measures(ad.segments(spark, d), ad.segment_intervals(spark, d))
+    return seg.overlap_measures_in_turn(ad.segments(spark, d), *seg.box_runs(F.col, ad.HEIGHT))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio, touches_edge
-from ..plans.packed import Masks, alike, classes, least_reachable, owners, shared, united, whole_groups
+from ..plans.packed import Masks, alike, classes, least_reachable, meeting, owners, shared, united, whole_groups
 from . import intervals
 
 DUPLICATE_IOU, CONTAINED, HIDDEN = 0.85, 0.95, 0.98
@@ -73,9 +73,12 @@ def overlap_measures(segments: DataFrame, own: DataFrame) -> DataFrame:
     carried = own.join(segments.select("image", "sid", "area"), ["image", "sid"]) if "area" not in own.columns else own
     a = carried.select("image", F.col("sid").alias("sid_i"), F.col("area").alias("area_i"), "s", "e")
     b = carried.select("image", F.col("sid").alias("sid_j"), F.col("area").alias("area_j"), "s", "e")
-    shared = intervals.overlaps(a, b, "image", "sid_i", "sid_j", F.col("sid_i") < F.col("sid_j"), carried=("area_i", "area_j"))
+    return measured(intervals.overlaps(a, b, "image", "sid_i", "sid_j", F.col("sid_i") < F.col("sid_j"), carried=("area_i", "area_j")))
+
+
+def measured(overlaps: DataFrame) -> DataFrame:
     area_i, area_j = F.col("area_i"), F.col("area_j")
-    return shared.select(
+    return overlaps.select(
         "image",
         "sid_i",
         "sid_j",
@@ -99,6 +102,23 @@ def sql_types(segments: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in segments.schema.fields}
 
 
+def overlap_measures_in_turn(segments: DataFrame, starts: Column, ends: Column) -> DataFrame:
+    """What ``overlap_measures`` says of segments (image, sid, area) with masks of one row each. One image after another is
+    compared by its runs; neither runs nor pairs are dealt or joined. A task holds one image's masks and some of its pairs."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(parts):
+            masks = Masks.of(table.column("_starts"), table.column("_ends"))
+            for i, j, overlap in meeting(masks, owners(table.column("image"), at)):
+                a, b = (table.select(["image", "sid", "area"]).take(pa.array(x)) for x in (i, j))
+                columns = {"image": a["image"], "sid_i": a["sid"], "sid_j": b["sid"], "area_i": a["area"], "area_j": b["area"], "overlap": pa.array(overlap)}
+                yield from pa.table(columns).to_batches(max_chunksize=1 << 16)
+
+    kind = sql_types(segments)
+    schema = f"image {kind['image']}, sid_i {kind['sid']}, sid_j {kind['sid']}, area_i {kind['area']}, area_j {kind['area']}, overlap long"
+    return measured(ordered_masks(segments, ["sid"], ["area"], starts, ends).mapInArrow(run, schema))
+
+
 def group_ids(segments: DataFrame, measures: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame:
     """The smallest segment id reachable over pairs with IoU from the threshold on, for every segment.
 
@@ -139,7 +159,7 @@ def group_ids(segments: DataFrame, measures: DataFrame, threshold: float = DUPLI
 
 def represented_in_turn(segments: DataFrame, starts: Column, ends: Column, order: list[str | Column], threshold: float = DUPLICATE_IOU) -> DataFrame:
     """The group of each segment (image, sid), as ``group_ids`` names it, and as its representative the member that comes
-    first in ``order``. Masks are rows, as in ``ordered_masks``; neither runs nor pairs are dealt or joined, and a task holds the masks of one image."""
+    first in ``order``. Masks are rows, as in ``overlap_measures_in_turn``, and images are worked on in the same way."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(parts):

@@ -201,3 +201,28 @@ def classes(masks: Masks, group: np.ndarray, threshold: float, most: int = 1 <<
         if len(a):
             up = least_reachable(len(up), np.concatenate([np.arange(len(up)), a]), np.concatenate([up, b]))
     return up
+
+
+def meeting(masks: Masks, group: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs i < j of masks of one group that share pixels, and how many. Only masks whose extents meet are compared, by
+    about ``most`` runs at a time, however many pairs a group or a mask has."""
+    some = np.flatnonzero(np.diff(masks.at))
+    low, high = masks.starts[masks.at[some]], masks.ends[masks.at[some + 1] - 1]
+    span = int(high.max(initial=0)) + 1
+    order = np.lexsort((low, group[some]))
+    some, base, low, high = some[order], group[some[order]] * span, low[order], high[order]
+    # with extents in order of where they begin, those from here on that begin before this one ends
+    many = np.maximum(np.searchsorted(base + low, base + high) - np.arange(len(some)) - 1, 0)
+    runs = np.diff(masks.at)[some]
+    total, work = (np.concatenate([[0], np.cumsum(x)]) for x in (many, many * runs))
+    cuts = np.arange(most, work[-1], most)
+    at = np.searchsorted(work, cuts, side="right") - 1
+    bounds = np.unique(np.concatenate([[0], total[at] + (cuts - work[at]) // runs[at], total[-1:]]))
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        pair = np.arange(begin, end)
+        one = np.searchsorted(total, pair, side="right") - 1
+        i, j = some[one], some[one + 1 + pair - total[one]]
+        overlap = shared(masks, i, masks, j)
+        met = overlap > 0
+        i, j, overlap = i[met], j[met], overlap[met]
+        yield np.minimum(i, j), np.maximum(i, j), overlap

@@ -115,7 +115,7 @@ def test_alike_in_parts():
         assert set(got) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts", "seg_duplicate_groups"])
+@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts", "seg_duplicate_groups", "seg_overlap_iou_containment"])
 def test_segments_are_compared_where_they_are(spark, name):
     test_only_lines_are_dealt(spark, name)
 
@@ -169,3 +169,26 @@ def test_group_counts_in_one_pass(spark):
     want = grouped.groupBy("image").agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("members"))
     assert want.filter("1 < groups and groups < members").count()
     same_in_batches(spark, want, lambda: seg.group_counts_in_turn(segments, *seg.box_runs(F.col, height)))
+
+
+def test_measures_in_one_pass(spark):
+    segments, height = some_segments(spark), 40
+    want = seg.overlap_measures(segments, seg.column_intervals(segments, height))
+    assert want.count() > 1000
+    same_in_batches(spark, want, lambda: seg.overlap_measures_in_turn(segments, *seg.box_runs(F.col, height)))
+
+
+def test_meeting_in_parts():
+    rng = np.random.default_rng(9)
+    at = np.concatenate([[0], np.cumsum(rng.integers(0, 4, 120))])
+    # of each mask three rising disjoint runs at most, some of them empty
+    starts = np.concatenate([10 * np.arange(n) + rng.integers(0, 12) + rng.integers(0, 3, n) for n in np.diff(at)])
+    masks, group = packed.Masks(starts, starts + rng.integers(0, 7, len(starts)), at), np.sort(rng.integers(-2, 3, 120))
+    own = [{k for r in range(at[i], at[i + 1]) for k in range(masks.starts[r], masks.ends[r])} for i in range(120)]
+    want = {(i, j, len(own[i] & own[j])) for j in range(120) for i in range(j) if group[i] == group[j] and own[i] & own[j]}
+    assert len(want) > 300
+    for most in (1, 5, 1 << 20):
+        got = [row for part in packed.meeting(masks, group, most) for row in zip(*(x.tolist() for x in part), strict=True)]
+        assert set(got) == want and len(got) == len(want)
+        sizes = [len(part[0]) for part in packed.meeting(masks, group, most)]
+        assert max(sizes) <= most
