@@ -156,7 +156,7 @@ SELECT image, sid, parent AS parent_sid FROM (SELECT *, row_number() OVER (PARTI
 
 @query(NEAREST)
 def seg_nearest_parent(spark, d):
-    return seg.nearest_parents(measures(spark, d))
+    return seg.nearest_parents_in_turn(ad.segments(spark, d), *seg.box_runs(F.col, ad.HEIGHT))
 
 
 HITS = SEG + """, p(px, py) AS (VALUES (8, 8), (20, 12), (33, 25), (40, 40))

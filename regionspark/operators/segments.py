@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio, touches_edge
-from ..plans.packed import Masks, alike, classes, least_reachable, meeting, owners, shared, united, whole_groups
+from ..plans.packed import Masks, alike, classes, least_reachable, meeting, nearest, owners, shared, united, whole_groups
 from . import intervals
 
 DUPLICATE_IOU, CONTAINED, HIDDEN = 0.85, 0.95, 0.98
@@ -250,6 +250,21 @@ def nearest_parents(measures: DataFrame, threshold: float = DUPLICATE_IOU, conta
     return pairs.groupBy("image", "sid").agg(F.min("p").alias("p")).select("image", "sid", F.col("p.parent").alias("parent_sid"))
 
 
+def nearest_parents_in_turn(segments: DataFrame, starts: Column, ends: Column, threshold: float = DUPLICATE_IOU, contained: float = CONTAINED) -> DataFrame:
+    """What ``nearest_parents`` says of the pairs of ``overlap_measures_in_turn``, without making rows of these."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(parts):
+            masks = Masks.of(table.column("_starts"), table.column("_ends"))
+            # rows are in order of sid, which decides between equal areas
+            inner, outer = nearest(meeting(masks, owners(table.column("image"), at)), table.column("area").to_numpy(), threshold, contained)
+            told = table.select(["image", "sid"]).take(pa.array(inner))
+            yield from told.append_column("parent_sid", table.column("sid").take(pa.array(outer))).to_batches()
+
+    kind = sql_types(segments)
+    return ordered_masks(segments, ["sid"], ["area"], starts, ends).mapInArrow(run, f"image {kind['image']}, sid {kind['sid']}, parent_sid {kind['sid']}")
+
+
 def hits(segments: DataFrame, points: DataFrame, own: DataFrame, height: int) -> DataFrame:
     """Segments under each point, ranked by area and id; points are few and go to every task. Boxes sort out, and the exact
     column-major intervals decide."""

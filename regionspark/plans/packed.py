@@ -226,3 +226,23 @@ def meeting(masks: Masks, group: np.ndarray, most: int = 1 << 20) -> Iterator[tu
         met = overlap > 0
         i, j, overlap = i[met], j[met], overlap[met]
         yield np.minimum(i, j), np.maximum(i, j), overlap
+
+
+def nearest(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], area: np.ndarray, threshold: float, contained: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of masks that lie in larger ones (containment from ``contained`` on, IoU below the threshold), and of these the
+    smallest, the first of equal ones; of two of one area the later lies in the earlier. ``pairs`` are those that meet."""
+
+    def ratio(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.divide(part, whole, out=np.zeros(len(part)), where=whole != 0)
+
+    inner, outer = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for i, j, overlap in pairs:
+        nested = (ratio(overlap, area[i] + area[j] - overlap) < threshold) & (ratio(overlap, np.minimum(area[i], area[j])) >= contained)
+        i, j = i[nested], j[nested]
+        later = area[j] <= area[i]
+        inner, outer = np.concatenate([inner, np.where(later, j, i)]), np.concatenate([outer, np.where(later, i, j)])
+        order = np.lexsort((outer, area[outer], inner))
+        inner, outer = inner[order], outer[order]
+        first = np.flatnonzero(np.diff(inner, prepend=-1))
+        inner, outer = inner[first], outer[first]
+    return inner, outer

@@ -115,7 +115,7 @@ def test_alike_in_parts():
         assert set(got) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts", "seg_duplicate_groups", "seg_overlap_iou_containment"])
+@pytest.mark.parametrize("name", ["seg_representatives", "seg_group_counts", "seg_duplicate_groups", "seg_overlap_iou_containment", "seg_nearest_parent"])
 def test_segments_are_compared_where_they_are(spark, name):
     test_only_lines_are_dealt(spark, name)
 
@@ -192,3 +192,13 @@ def test_meeting_in_parts():
         assert set(got) == want and len(got) == len(want)
         sizes = [len(part[0]) for part in packed.meeting(masks, group, most)]
         assert max(sizes) <= most
+
+
+def test_nearest_parents_in_one_pass(spark):
+    segments, height = some_segments(spark), 40
+    want = seg.nearest_parents(seg.overlap_measures(segments, seg.column_intervals(segments, height)))
+    same_in_batches(spark, want, lambda: seg.nearest_parents_in_turn(segments, *seg.box_runs(F.col, height)))
+    masks = packed.Masks(np.array([0, 0, 5, 5, 6, 50]), np.array([100, 20, 15, 15, 7, 51]), np.arange(7))
+    for most in (1, 2, 100):
+        inner, outer = packed.nearest(packed.meeting(masks, np.zeros(6, dtype=np.int64), most), masks.pixels(), 0.85, 0.95)
+        assert dict(zip(inner.tolist(), outer.tolist(), strict=True)) == {1: 0, 2: 1, 3: 1, 4: 2, 5: 0}
